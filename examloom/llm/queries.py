@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examloom.llm import formatting, quotas, related_splits, stable_sample
+from examloom.llm import bpe, formatting, lookalike, mixing, overlap, quotas, related_splits, stable_sample
 from examloom.llm.oracles import SQL
 from examloom.session import ship_package
 
@@ -59,7 +59,49 @@ def p5_sample(spark, d):
     return s.select("row_id", "sample_id", "unit", "batch", "bucket", "chosen_from")
 
 
-_ALL = [p1_found, p1_sample, p1_report, p2_found, p2_records, p4_found, p4_splits, p4_split_shares, p5_sample]
+def p3_found(spark, d):
+    q = lookalike.same_looking_pairs(_t(spark, d, "build_cmb_train_sft"), "row_id", "question").select(F.lit("question").alias("field"), "key_a", "key_b")
+    a = lookalike.same_looking_pairs(_t(spark, d, "score_cmb"), "score_id", "answer", "id").select(F.lit("answer").alias("field"), "key_a", "key_b")
+    return q.union(a)
+
+
+def p3_questions(spark, d):
+    return lookalike.canonical_text(_t(spark, d, "build_cmb_train_sft"), "row_id", "question").select(F.col("key").alias("row_id"), F.col("canonical").alias("question"))
+
+
+def p3_answers(spark, d):
+    return lookalike.canonical_text(_t(spark, d, "score_cmb"), "score_id", "answer").select(F.col("key").alias("score_id"), F.col("canonical").alias("answer"))
+
+
+def p6_found(spark, d):
+    pairs = overlap.overlap_pairs(_t(spark, d, "build_cmb_train_sft"))
+    return pairs.select(F.least("train_key", "eval_key").alias("row_id_a"), F.greatest("train_key", "eval_key").alias("row_id_b"))
+
+
+def p6_report(spark, d):
+    return overlap.overlap_report(_t(spark, d, "build_cmb_train_sft"))
+
+
+def p7_ids(spark, d):
+    return bpe.encode_texts(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p8_report(spark, d):
+    return mixing.mix_sources(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[1]
+
+
+def p8_found(spark, d):
+    return p8_report(spark, d).filter("cannot_fill").select("source")
+
+
+def p8_mixture(spark, d):
+    return mixing.mix_sources(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[0]
+
+
+_ALL = [
+    p1_found, p1_sample, p1_report, p2_found, p2_records, p3_found, p3_questions, p3_answers, p4_found, p4_splits, p4_split_shares,
+    p5_sample, p6_found, p6_report, p7_ids, p8_found, p8_report, p8_mixture,
+]
 
 
 def _ready(f: Query) -> Query:

@@ -50,6 +50,6 @@ def stable_sample(rows: DataFrame, rate: float, record: str = "sample_id", unit:
     length = upto.filter(F.col("before") < F.col("total") * F.lit(rate)).groupBy("_batch").agg(F.max("place").alias("last"))
     length = length.withColumn("last", F.max("last").over(Window.orderBy("_batch")))  # the list is append-only
     steps = length.groupBy("last").agg(F.min("_batch").alias("since"))
-    places = spark.range(BUCKETS).select(F.col("id").cast("int").alias("place"))
-    since = places.join(F.broadcast(steps), F.col("place") <= F.col("last")).groupBy("place").agg(F.min("since").alias("since"))
+    steps = steps.withColumn("start", F.lag("last", 1, -1).over(Window.orderBy("last")) + 1)
+    since = steps.withColumn("place", F.explode(F.sequence("start", "last"))).select("place", "since")
     return own.join(F.broadcast(since), "place").withColumn("chosen_from", F.greatest("_batch", "since")).drop("_batch", "since")
