@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from examloom.llm._common import SALTS, hot_keys
+from examloom.session import materialize
 
 #: Width forms and look-alikes of the marks that may carry a value, and what they stand for.
 MARKS_FROM = "．，：／～〜－−‐‑–＋＜＞＝％（）"
@@ -25,19 +26,27 @@ MARKS_TO = ".,:/~~-----+<>=%()"
 PRIME = (1 << 61) - 1
 
 
+#: Stands between the fields of a record while they are normalised together; removed from the texts themselves.
+SEPARATOR = "\ue000"
+#: A dash counts between digits, alone in brackets, or before a digit after anything but a letter or digit (a Han
+#: character is no letter here); other marks count between digits; all other punctuation goes.
+_DROP = (
+    r"-(?!(?<=\p{N}-)\p{N}|(?<=\(-)\)|(?<![\p{L}\p{N}&&[^\p{IsHan}]]-)\p{N})"
+    r"|(?<!\p{N})[.,:/~]|[.,:/~](?!\p{N})|[\p{P}`&&[^.,:/\-%‰]]"
+)
+
+
 def normalized(text: Column) -> Column:
-    """Text without what is only formatting."""
+    """Text without what is only formatting. The blanks go first, so that marks see their neighbours."""
     t = F.lower(F.translate(text, MARKS_FROM, MARKS_TO))
-    t = F.regexp_replace(t, r"[\p{Z}\p{Cc}\p{Cf}]+", "")
-    # a dash counts between digits, alone in brackets, or before a digit after anything but a letter or digit (a Han character is no letter here)
-    t = F.regexp_replace(t, r"-(?!(?<=\p{N}-)\p{N}|(?<=\(-)\)|(?<![\p{L}\p{N}&&[^\p{IsHan}]]-)\p{N})", "")
-    t = F.regexp_replace(t, r"(?<!\p{N})[.,:/~]|[.,:/~](?!\p{N})", "")
-    return F.regexp_replace(t, r"[\p{P}`&&[^.,:/\-%‰]]", "")
+    return F.regexp_replace(F.regexp_replace(t, r"[\p{Z}\p{Cc}\p{Cf}]+", ""), _DROP, "")
 
 
-def option_set(options: Column, text: str = "text") -> Column:
-    """The distinct normalised texts of an array of structs."""
-    return F.array_distinct(F.filter(F.transform(options, lambda o: F.coalesce(normalized(o[text]), F.lit(""))), lambda x: x != ""))
+def normalized_fields(question: Column, options: Column, text: str) -> Column:
+    """[question, option, ...] normalised in one go, which costs two scans of a record whatever its number of options."""
+    clean = lambda c: F.translate(F.coalesce(c, F.lit("")), SEPARATOR, "")
+    parts = F.concat(F.array(clean(question)), F.transform(options, lambda o: clean(o[text])))
+    return F.split(normalized(F.array_join(parts, SEPARATOR)), SEPARATOR)
 
 
 def multiset_hash(lane: int, question: Column, options: Column) -> Column:
@@ -48,7 +57,9 @@ def multiset_hash(lane: int, question: Column, options: Column) -> Column:
 
 def fingerprints(rows: DataFrame, key: str, question: str, options: str, text: str = "text") -> DataFrame:
     d = rows.filter(F.col(question).isNotNull() & F.col(options).isNotNull())
-    d = d.select(F.col(key).alias("id"), normalized(F.col(question)).alias("q"), option_set(F.col(options), text).alias("o"))
+    d = d.select(F.col(key).alias("id"), normalized_fields(F.col(question), F.col(options), text).alias("all"))
+    others = F.filter(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))), lambda x: x != "")
+    d = d.select("id", F.col("all")[0].alias("q"), F.array_distinct(others).alias("o"))
     return d.select("id", "q", "o", multiset_hash(1, F.col("q"), F.col("o")).alias("f1"), multiset_hash(2, F.col("q"), F.col("o")).alias("f2"))
 
 
@@ -58,7 +69,7 @@ def formatting_members(rows: DataFrame, key: str = "row_id", question: str = "qu
     The grouping moves only fingerprints. Texts move once, for the comparison, and only the first row's text is
     repeated: groups with many copies are salted.
     """
-    base = fingerprints(rows, key, question, options, text)
+    base = materialize(fingerprints(rows, key, question, options, text), "fingerprints")
     groups = base.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     hot = hot_keys(groups, ["f1", "f2"], "n").withColumn("hot", F.lit(True))
     marked = groups.join(F.broadcast(hot), ["f1", "f2"], "left")
