@@ -13,10 +13,10 @@ nothing are equal. The first row is the smallest id; rows repeated with the same
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from examloom.llm._common import SALTS, hot_keys
+from examloom.llm._common import hot_keys
 from examloom.session import materialize
 
 #: Width forms and look-alikes of the marks that may carry a value, and what they stand for.
@@ -66,28 +66,34 @@ def fingerprints(rows: DataFrame, key: str, question: str, options: str, text: s
 def formatting_members(rows: DataFrame, key: str = "row_id", question: str = "question", options: str = "options", text: str = "text") -> DataFrame:
     """(first, id) of every row whose fields another row has too, apart from formatting; first is the smallest such id.
 
-    The grouping moves only fingerprints. Texts move once, for the comparison, and only the first row's text is
-    repeated: groups with many copies are salted.
+    Texts move once, to their fingerprint's partition, where each row is compared with the first one of its group. The
+    groups with the most copies (a thousand at most, see hot_keys) do not move: their first rows are broadcast instead.
     """
     base = materialize(fingerprints(rows, key, question, options, text), "fingerprints")
-    groups = base.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    hot = hot_keys(groups, ["f1", "f2"], "n").withColumn("hot", F.lit(True))
-    marked = groups.join(F.broadcast(hot), ["f1", "f2"], "left")
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = marked.select("f1", "f2", "first", F.explode(salts).alias("salt"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    members = base.join(F.broadcast(hot), ["f1", "f2"], "left").withColumn("salt", salt).drop("hot").join(spread, ["f1", "f2", "salt"])
-    # of rows with the same smallest id one stands for the group
-    heads = members.filter("id = first").join(F.broadcast(hot), ["f1", "f2"], "left")
-    heads = heads.groupBy("f1", "f2", "hot").agg(F.first("q").alias("hq"), F.first("o").alias("ho"))
-    heads = heads.select("f1", "f2", "hq", "ho", F.explode(salts).alias("salt"))
+    pair = ["f1", "f2"]
+    groups = base.groupBy(*pair).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    hot = hot_keys(groups, pair, "n")
+    hot = materialize(groups.join(F.broadcast(hot), pair, "left_semi").select(*pair, "first"), "hot")
+    large = base.join(F.broadcast(hot), pair)
+    heads = large.filter("id = first").groupBy(*pair).agg(F.first("q").alias("hq"), F.first("o").alias("ho"))
+    large = large.join(F.broadcast(heads), pair)
+    group = Window.partitionBy(*pair)
+    upto = group.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    small = base.join(F.broadcast(hot.select(*pair)), pair, "left_anti").withColumn("n", F.count("*").over(group))
+    for new, old in (("first", "id"), ("hq", "q"), ("ho", "o")):
+        small = small.withColumn(new, F.first(old).over(upto))
+    small = small.filter("n > 1")
     same = (F.col("q") == F.col("hq")) & (F.size("o") == F.size("ho")) & (F.size(F.array_except("o", "ho")) == 0)
-    checked = members.join(heads, ["f1", "f2", "salt"]).withColumn("same", same)
+    checked = materialize(large.select(*pair, "id", "first", same.alias("same")).union(small.select(*pair, "id", "first", same.alias("same"))), "members")
+    good, other = checked.filter("same").select("first", "id"), checked.filter("not same")
+    if other.isEmpty():
+        return good
     # rows that only share the fingerprint (none are expected) form their own exact groups
-    other = checked.filter("not same").withColumn("s", F.array_sort("o"))
-    exact = other.groupBy("f1", "f2", "q", "s").agg(F.min("id").alias("first2"), F.count("*").alias("n2")).filter("n2 > 1")
-    other = other.join(exact, ["f1", "f2", "q", "s"]).select(F.col("first2").alias("first"), "id")
-    return checked.filter("same").select("first", "id").union(other)
+    texts = base.join(other.select("id", *pair), ["id", *pair], "left_semi").withColumn("s", F.array_sort("o"))
+    exact = texts.groupBy(*pair, "q", "s").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = texts.join(exact, [*pair, "q", "s"]).select("first", "id")
+    twice = good.groupBy("first").agg(F.count("*").alias("n")).filter("n > 1").select("first")
+    return good.join(twice, "first", "left_semi").union(again)
 
 
 def collapse_formatting(rows: DataFrame, key: str = "row_id", question: str = "question", options: str = "options", text: str = "text") -> DataFrame:
