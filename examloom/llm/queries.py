@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from examloom.llm import bpe, formatting, lookalike, mixing, overlap, quotas, related_splits, stable_sample
+from examloom.llm import bpe, formatting, lookalike, mixing, overlap, quotas, related_splits, residue, stable_sample
 from examloom.llm.oracles import SQL
 from examloom.session import ship_package
 
@@ -98,9 +98,17 @@ def p8_mixture(spark, d):
     return mixing.mix_sources(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[0]
 
 
+def p9_kinds(spark, d):
+    return residue.residue_documents(_t(spark, d, "documents"))
+
+
+def p9_found(spark, d):
+    return p9_kinds(spark, d).select("doc_id")
+
+
 _ALL = [
     p1_found, p1_sample, p1_report, p2_found, p2_records, p3_found, p3_questions, p3_answers, p4_found, p4_splits, p4_split_shares,
-    p5_sample, p6_found, p6_report, p7_ids, p8_found, p8_report, p8_mixture,
+    p5_sample, p6_found, p6_report, p7_ids, p8_found, p8_report, p8_mixture, p9_found, p9_kinds,
 ]
 
 
