@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES: tuple[str, ...] = ()
+NAMES: tuple[str, ...] = ("mcq", "scores", "tables")
 
 
 def load_all() -> None:
