@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from examloom.functions.text import shingle_hashes
+from examloom.session import materialize
 
 
 def near_scores(keys: DataFrame, references: DataFrame, key: str, ref_key: str, threshold: float = 0.5, n: int = 5, min_chars: int = 8) -> DataFrame:
@@ -15,8 +16,9 @@ def near_scores(keys: DataFrame, references: DataFrame, key: str, ref_key: str,
     are joined, so frequent grams of templates never meet, and no pair is lost as with hashed bands. Keys shorter than
     min_chars are left to the exact match. Grams are 64-bit numbers throughout.
     """
-    grams = lambda df, c: df.select(F.col(c).alias("s")).filter(F.length("s") >= min_chars).distinct().withColumn("g", F.array_distinct(shingle_hashes(F.col("s"), n)))
-    left, right = grams(keys, key), grams(references, ref_key)
+    # the distinct keys are written once; their grams, several times as many bytes, are made anew where they are used
+    stems = lambda df, c: materialize(df.select(F.col(c).alias("s")).filter(F.length("s") >= min_chars).distinct(), "stems")
+    left, right = (d.withColumn("g", F.array_distinct(shingle_hashes(F.col("s"), n))) for d in (stems(keys, key), stems(references, ref_key)))
     both = left.select(F.explode("g").alias("x")).union(right.select(F.explode("g").alias("x")))
     often = both.groupBy("x").agg(F.count("*").alias("often"))
 
