@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES: tuple[str, ...] = ("mcq", "scores", "tables")
+NAMES: tuple[str, ...] = ("mcq", "scores", "tables", "more")
 
 
 def load_all() -> None:

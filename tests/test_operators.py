@@ -149,3 +149,29 @@ def test_harness(spark):
     opts = spark.createDataFrame([("问", [("A", "甲")], "A", "依据一。 结论。", [(0, 5), (5, 8)])], "q string, o array<struct<letter:string,text:string>>, g string, e string, s array<struct<start:int,end:int>>")
     made = opts.select(harness.scoring_request(F.col("q"), F.col("o"), F.col("g"), F.col("e"), F.col("s"), "{question}|{options}|{gold}|{sentences}|{count}").alias("t")).first().t
     assert made == "问|A. 甲|A|[1] 依据一。\n[2] 结论。|2"
+
+
+def test_training_tables(spark):
+    from dataclasses import dataclass
+
+    from examloom.operators import training
+
+    s = spark.createDataFrame([(i,) for i in range(0, 7)], "s int").select(training.normalized_score(F.col("s")).alias("x"))
+    assert [r.x for r in s.collect()] == [None, 0.0, 0.25, 0.5, 0.75, 1.0, None]
+    e = spark.createDataFrame([(1.0, 3.0, True), (5.0, 0.0, False)], "p double, t double, v boolean")
+    assert e.agg(training.masked_squared_error(F.col("p"), F.col("t"), F.col("v")).alias("m")).first().m == 4.0
+    t = spark.createDataFrame([(0, i, i in (1, 4), i > 2, i in (2, 6)) for i in range(8)] + [(1, 0, True, False, False)], "e int, p int, m boolean, s boolean, x boolean")
+    got = {(r.e, r.p) for r in training.answer_mask(t, "e", "p", "m", "s", "x").filter("in_answer").collect()}
+    assert got == {(0, 4), (0, 5)}
+    ids = spark.createDataFrame([(0, [1, 2, 3]), (0, [4]), (1, []), (1, [])], "b int, ids array<int>")
+    assert sorted(tuple(r.ids) for r in training.padded(ids, "b", "ids", 9).collect()) == [(), (), (1, 2, 3), (4, 9, 9)]
+    ok, dropped = training.usable(ids, F.size("ids"), 2, F.size("ids") > 0)
+    assert ok.count() == 1 and {r.reason: r.n for r in dropped.collect()} == {"too_long": 1, "misaligned": 2}
+
+    @dataclass
+    class Settings:
+        a: int = 1
+
+    assert training.configured({"a": 2}, Settings).a == 2
+    with pytest.raises(ValueError, match="unknown settings: b, c"):
+        training.configured({"c": 1, "b": 2}, Settings)
