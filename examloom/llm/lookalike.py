@@ -287,4 +287,4 @@ def same_looking_pairs(df: DataFrame, key: str, text: str, within: str | None =
     odd = spec.join(stored, "h", "left_semi")
     a, b = odd.alias("a"), odd.alias("b")
     same = (F.col("a.h") == F.col("b.h")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.text") != F.col("b.text")) & (F.col("a.canonical") == F.col("b.canonical")) & (F.col("a.within") == F.col("b.within"))
-    return a.join(b, same).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
+    return a.join(b, same).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()

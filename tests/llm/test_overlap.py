@@ -24,6 +24,19 @@ def test_distance_is_edit_distance():
         assert distance(a, b, 99) == d and all(distance(a, b, m) > m for m in range(d)) and distance(a, b, d) == d
 
 
+def test_matching_is_the_cheapest():
+    from itertools import permutations
+
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.randrange(1, 6)
+        cost = [[rng.randrange(0, 9) for _ in range(n)] for _ in range(n)]
+        assert overlap.matched(cost) == min(sum(cost[i][p[i]] for i in range(n)) for p in permutations(range(n)))
+    many = [[abs(i * 7 % 40 - j) for j in range(40)] for i in range(40)]
+    assert overlap.matched(many) == 0
+    assert alike("问题" * 20, ["甲乙", "丙"], "问题" * 20, ["丙", "甲乙丁"]) and not alike("问题", ["甲乙丙丁"], "问题", [])
+
+
 def _text(rng, n):
     return "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(n))
 
