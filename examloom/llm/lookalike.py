@@ -62,16 +62,31 @@ def fold_char(c: str) -> str:
     return c
 
 
+class _Table(dict):
+    """A translation table that works out a character when it first meets it; str.translate then runs at full speed."""
+
+    def __init__(self, rule):
+        super().__init__()
+        self.rule = rule
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = self.rule(chr(code))
+        return out
+
+
+_FOLDED = _Table(fold_char)
+
+
 def path_of(text: str) -> str:
     """The folded characters of a text with accents apart: equal for texts that look the same."""
-    return unicodedata.normalize("NFD", "".join(map(fold_char, text)))
+    return unicodedata.normalize("NFD", text.translate(_FOLDED))
 
 
 def fold(text: str | None) -> str | None:
     """The form that the table alone gives."""
     if text is None:
         return None
-    return unicodedata.normalize("NFC", "".join(map(fold_char, unicodedata.normalize("NFD", text.replace("\r\n", "\n"))))).strip(" ")
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.replace("\r\n", "\n")).translate(_FOLDED)).strip(" ")
 
 
 class Trie:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from examloom.llm.lookalike import fold
+from examloom.llm.lookalike import _Table, fold
 from examloom.session import materialize
 
 BITS = 256
@@ -62,9 +62,12 @@ def _blocks(bits: int, blocks: int) -> np.ndarray:
     return np.array(out[:blocks])
 
 
+_VISIBLE = _Table(lambda c: c if c.isalnum() else "")
+
+
 def plain(text: str | None) -> str:
     """Letters and digits only, in one form and case."""
-    return "".join(c for c in (fold(text) or "").lower() if c.isalnum())
+    return (fold(text) or "").lower().translate(_VISIBLE)
 
 
 def _features(parts: list[str]) -> np.ndarray:
