@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of a symmetric edge list; nodes of a component share a label, one of the nodes."""
     chain = None
     while True:
-        adj = materialize(edges.repartition("src"), "adjacency")
+        adj = materialize(edges.hint("rebalance", "src"), "adjacency")  # by node, but a hub with very many edges is split
         if adj.isEmpty():
             break
         level = _expand(adj)
