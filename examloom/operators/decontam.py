@@ -25,11 +25,13 @@ def near_scores(keys: DataFrame, references: DataFrame, key: str, ref_key: str,
     def rare(d: DataFrame) -> DataFrame:
         e = d.select("s", F.size("g").alias("size"), F.explode("g").alias("x")).join(often, "x")
         place = F.row_number().over(Window.partitionBy("s").orderBy("often", "x"))
-        return e.withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1).select("s", "size", "x")
+        return e.withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1).select("s", "size", "x", "place")
 
     a, b = rare(left).alias("a"), rare(right).alias("b")
     sized = (F.col("a.size") >= F.col("b.size") * threshold) & (F.col("b.size") >= F.col("a.size") * threshold)
-    pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & sized).select(F.col("a.s").alias("s"), F.col("b.s").alias("r")).distinct()
+    # the first gram that two sets share, in order of rarity, leaves both room for the overlap that the threshold asks for
+    room = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) + 1 >= (F.col("a.size") + F.col("b.size")) * (threshold / (1 + threshold)) - 1e-6
+    pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & sized & room).select(F.col("a.s").alias("s"), F.col("b.s").alias("r")).distinct()
     full = pairs.join(left.select("s", F.col("g").alias("gs")), "s").join(right.select(F.col("s").alias("r"), F.col("g").alias("gr")), "r")
     shared = F.size(F.array_intersect("gs", "gr"))
     scored = full.select("s", "r", (shared / (F.size("gs") + F.size("gr") - shared)).alias("j")).filter(F.col("j") >= threshold)
