@@ -94,13 +94,6 @@ _PLACEHOLDER, _ERROR, _SCRIPTED, _FILLED = _any(PLACEHOLDERS), _any(ERRORS), _an
 _PHRASE = r"(?!(.)\1{3})([\p{IsHan}]{2,12})\2{2,}"
 
 
-#: One cheap scan: a sentence without any of these shows nothing that the longer patterns look for.
-_GATE = (
-    r"[{\[$#@×【〔〈]|__|%[(sd]|xx|<[\p{L}%]|[a-z]{5}|[a-z]{2,4}[ ,.]+[a-z]{2,4}[ ,.]+[a-z]{2,4}|null|nan|none|page|js|to ?do|tb[dac]|file|http|[(（]待|脚本|占位|待填|待补|待更|待完|出错|错误(?!。)|登录|会话|请(?:重新|稍)|返回|跳转|权限|访问|刷新"
-    r"|超时|繁忙|异常|走丢|管理员|无响应|失败|维护|开小差|删除|下架|建设|暂无|尚未|整理中|更新中|后补|补上|[45]\d\d "
-)
-
-
 def evidence(sentence: Column) -> Column:
     """The kind of residue that a folded sentence shows, null for none."""
     quiet = ~sentence.rlike(TALK)  # asked last, so only of sentences with evidence
@@ -110,7 +103,7 @@ def evidence(sentence: Column) -> Column:
         .when(sentence.rlike(_ERROR) & quiet, "error")
         .when(sentence.rlike(_FILLED) & quiet, "filler")
     )
-    return F.coalesce(F.when(sentence.rlike(_GATE), kind), F.when(sentence.rlike(_PHRASE) & quiet, "filler"))
+    return F.coalesce(kind, F.when(sentence.rlike(_PHRASE) & quiet, "filler"))
 
 
 def sentences(line: Column) -> Column:

@@ -28,6 +28,20 @@ def test_residue_is_found(spark):
     assert [(got[i], t) for i, (_, t) in enumerate(RESIDUE)] == RESIDUE
 
 
+#: Sentences without any word but the ones of their own pattern.
+BARE = [
+    ("error", "系统错误。"), ("error", "服务器错误。"), ("error", "网络错误。"), ("error", "数据库错误。"), ("error", "页面错误。"), ("error", "您请求的页面不存在。"), ("error", "请求的网页找不到"), ("error", "题目读取失败"),
+    ("filler", "编辑:记得补图。"), ("filler", "作者：记得补"), ("filler", "答案待补充"), ("filler", "ab ab ab"), ("placeholder", "结果：None"), ("script_required", "脚本已禁用"),
+]
+
+
+def test_bare_residue_is_found(spark):
+    got = _kinds(spark, [t for _, t in BARE])
+    assert [(got[i], t) for i, (_, t) in enumerate(BARE)] == BARE
+    rows = [(i, f"下列说法正确的是\n{t}", "notes") for i, (_, t) in enumerate(BARE)]
+    assert {r.doc_id: r.kinds for r in residue_documents(_docs(spark, rows)).collect()} == {i: [k] for i, (k, _) in enumerate(BARE)}
+
+
 def test_talk_and_content_are_not(spark):
     got = _kinds(spark, CONTENT)
     assert [t for i, t in enumerate(CONTENT) if got[i]] == []
