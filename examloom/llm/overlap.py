@@ -1,10 +1,11 @@
 """Problem 6: evaluation records that also occur, exactly or almost, in the training split.
 
-Method: similarity-hash bit fingerprints. Each distinct text gets a 256-bit code: every character, weighted by its rarity
-in the corpus, votes on each bit. Codes are cut into permuted blocks; train and evaluation texts that agree in a block and
-differ in no more than ``radius`` bits are candidates, whose texts are then compared by edit distance. Single characters
-are the features because an edit spoils one of them but n of the n-grams: with a tenth of all characters edited, codes
-differ in 25 of 256 bits (38 at the 99th percentile), those of unrelated exam questions in 110 (70 at the 0.1th).
+Method: similarity-hash bit fingerprints. Each distinct text gets a 256-bit code: every occurrence of a character (the
+first of it, the second, ...) has one vote on each bit. Codes are cut into permuted blocks; train and evaluation texts that
+agree in a block and differ in no more than ``radius`` bits are candidates, whose texts are then compared by edit distance.
+Single characters are the features because an edit spoils one of them but n of the n-grams. Votes are equal, so an edit
+costs the same whether its character is rare, common or repeated: two records within ``share`` have a cosine of at least
+1 - share, and their codes differ in about acos(1 - share) / pi of the bits (40 of 256) at most, whatever was edited.
 
 Defined cases: question and options are taken together; blanks, letter case, punctuation, the form of characters, the
 order and the letters of options and empty options do not count. Two records overlap if the edits that turn one question
@@ -17,6 +18,7 @@ Equal texts are one class: only classes are compared, so copies cost nothing unt
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,21 +32,37 @@ from examloom.session import materialize
 
 BITS = 256
 FEATURES = 1 << 14
-#: Far beyond the 99th percentile of pairs with a tenth of their characters edited (38), below nearly all unrelated ones.
-RADIUS = 52
 SHARE = 0.12
-#: Blocks are planned for pairs that differ in this share of their bits, of which so few are missed.
-PLANNED, MISSED = 0.13, 1e-3
+#: Bits differ with this probability in the farthest pairs that overlap, of which so few are missed by all blocks.
+PLANNED, MISSED = math.acos(1 - SHARE) / math.pi, 1e-3
+#: Four standard deviations beyond the mean of the farthest pairs: 5 in 100,000 of them lie outside.
+RADIUS = 64
+
+#: Block rows that one task of the join sorts in memory.
+ROWS_A_TASK = 2_000_000
 
 
 def plan_blocks(n: int) -> tuple[int, int]:
     """(bits of a block, number of blocks) for n texts.
 
     A block has about log2(n) bits, so that a text meets a constant number of unrelated ones in it at every size; the
-    number of blocks follows from the share of pairs that may be missed.
+    number of blocks follows from the share of the farthest pairs that may be missed. Their differing bits are binomial, and
+    most of the missed ones are those that differ in more bits than the mean.
     """
     bits = max(16, round(math.log2(max(n, 2))))
-    return bits, math.ceil(math.log(MISSED) / math.log(1 - (1 - PLANNED) ** bits))
+    enough = 1
+    while missed(bits, enough) > MISSED:
+        enough *= 2
+    return bits, bisect_left(range(enough), -MISSED, key=lambda blocks: -missed(bits, blocks))
+
+
+def missed(bits: int, blocks: int) -> float:
+    """Share of the farthest overlapping pairs that agree in none of the blocks."""
+    total = 0.0
+    for d in range(BITS + 1):
+        differ = math.comb(BITS, d) * PLANNED**d * (1 - PLANNED) ** (BITS - d)
+        total += differ * (1 - math.comb(BITS - d, bits) / math.comb(BITS, bits)) ** blocks
+    return total
 
 
 @lru_cache(maxsize=1)
@@ -71,8 +89,11 @@ def plain(text: str | None) -> str:
 
 
 def _features(parts: list[str]) -> np.ndarray:
-    """Numbers of the characters of the parts."""
-    c = np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    """Numbers of the characters of the parts, another one for each occurrence of a character."""
+    c = np.sort(np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32)).astype(np.uint64)
+    nth = np.arange(len(c), dtype=np.uint64) - np.searchsorted(c, c).astype(np.uint64)
+    c = (c ^ nth * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
+    c ^= c >> np.uint64(29)
     return (c * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(50)).astype(np.int64)
 
 
@@ -179,33 +200,11 @@ def prepared(rows: DataFrame, key: str, split: str, question: str, options: str)
     return done.withColumn("h", F.sha2(F.concat_ws("|", F.col("q"), F.array_join("o", "|")), 256))
 
 
-def feature_weights(classes: DataFrame) -> np.ndarray:
-    """Rarity of each of the 16,384 feature numbers over all classes. The counts are all that leaves the workers."""
+def coded(classes: DataFrame) -> DataFrame:
+    """(c, train, eval, size, w0..w3) of every class that has visible text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(FEATURES, np.int64)
-        for b in batches:
-            for q, o in zip(b.column("q").to_pylist(), b.column("o").to_pylist(), strict=True):
-                seen[np.unique(_features([q, *o]))] += 1
-        at = np.nonzero(seen)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["f", "n"])
-
-    counts = classes.select("q", "o").mapInArrow(run, "f int, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    out = np.zeros(FEATURES, np.float64)
-    for f, n in counts.collect():  # at most 16,384 rows whatever the corpus
-        out[f] = n
-    total = out.max() + 1
-    return np.sqrt(np.log((total + 1) / (out + 1)) + 0.05).astype(np.float32)
-
-
-def coded(classes: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(c, train, eval, size, w0..w3, blocks) of every class that has visible text."""
-    shared = classes.sparkSession.sparkContext.broadcast(weights)
-    size, number = plan_blocks(classes.count())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signs, blocks, weight = _signs(), _blocks(size, number), shared.value
-        scale = (np.uint64(1) << np.arange(size, dtype=np.uint64)).astype(np.int64)
+        signs = _signs()
         for b in batches:
             keep, codes, sizes = [], [], []
             for i, (q, o) in enumerate(zip(b.column("q").to_pylist(), b.column("o").to_pylist(), strict=True)):
@@ -214,18 +213,31 @@ def coded(classes: DataFrame, weights: np.ndarray) -> DataFrame:
                     sizes.append(len(f))
                     f, times = np.unique(f, return_counts=True)
                     keep.append(i)
-                    codes.append((weight[f] * times.astype(np.float32)) @ signs[f] > 0)
-            bits = np.array(codes, dtype=bool).reshape(-1, BITS)
-            words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-            keys = (bits[:, blocks].astype(np.int64) @ scale) if len(keep) else np.zeros((0, number), np.int64)
-            keys = keys + (np.arange(number, dtype=np.int64) << size)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, number), pa.int32()), pa.array(keys.ravel()))
+                    codes.append(times.astype(np.float32) @ signs[f] > 0)
+            words = np.packbits(np.array(codes, dtype=bool).reshape(-1, BITS), axis=1, bitorder="little").view("<i8")
             own = b.take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [own.column("c"), own.column("train"), own.column("eval"), pa.array(sizes, pa.int32()), *[pa.array(np.ascontiguousarray(words[:, j])) for j in range(4)], flat], names=["c", "train", "eval", "size", "w0", "w1", "w2", "w3", "blocks"]
-            )
+            yield pa.RecordBatch.from_arrays([own.column("c"), own.column("train"), own.column("eval"), pa.array(sizes, pa.int32()), *[pa.array(np.ascontiguousarray(words[:, j])) for j in range(4)]], names=["c", "train", "eval", "size", "w0", "w1", "w2", "w3"])
+
+    return classes.select("c", "train", "eval", "q", "o").mapInArrow(run, f"c {classes.schema['c'].dataType.simpleString()}, train boolean, eval boolean, size int, w0 long, w1 long, w2 long, w3 long")
+
+
+def blocked(codes: DataFrame, size: int, number: int) -> DataFrame:
+    """(c, size, w0..w3, k): a row for each block of each code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pick = np.zeros((BITS, number))
+        pick[_blocks(size, number).T, np.arange(number)] = 2.0 ** np.arange(size)[:, None]
+        for whole in batches:
+            for at in range(0, whole.num_rows, step := max(1, (1 << 20) // number)):  # so many rows that their blocks take 8 MB
+                b = whole.slice(at, step)
+                words = np.stack([b.column(f"w{j}").to_numpy() for j in range(4)], axis=1)
+                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+                keys = (bits.astype(np.float64) @ pick).astype(np.int64) + (np.arange(number, dtype=np.int64) << size)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, number), pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, flat], names=[*b.schema.names, "blocks"])
 
-    return classes.select("c", "train", "eval", "q", "o").mapInArrow(run, f"c {classes.schema['c'].dataType.simpleString()}, train boolean, eval boolean, size int, w0 long, w1 long, w2 long, w3 long, blocks array<long>")
+    own = codes.select("c", "size", "w0", "w1", "w2", "w3")
+    return own.mapInArrow(run, f"c {codes.schema['c'].dataType.simpleString()}, size int, w0 long, w1 long, w2 long, w3 long, blocks array<long>").select(*own.columns, F.explode("blocks").alias("k"))
 
 
 def _far(a: str, b: str) -> Column:
@@ -240,10 +252,12 @@ def overlapping_classes(rows: DataFrame, key: str = "row_id", split: str = "spli
     base = materialize(prepared(rows, key, split, question, options), "texts")
     classes = base.groupBy("h").agg(F.min("key").alias("c"), F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"), F.first("q").alias("q"), F.first("o").alias("o"))
     classes = materialize(classes, "classes")
-    codes = materialize(coded(classes, feature_weights(classes)), "codes")
-    words = [f"w{j}" for j in range(4)]
-    a = codes.filter("train").select("c", "size", *words, F.explode("blocks").alias("k")).alias("a")
-    b = codes.filter("eval").select("c", "size", *words, F.explode("blocks").alias("k")).alias("b")
+    codes = materialize(coded(classes), "codes")
+    n = codes.count()
+    size, number = plan_blocks(n)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * number // ROWS_A_TASK)
+    a = blocked(codes.filter("train"), size, number).repartition(parts, "k").alias("a")
+    b = blocked(codes.filter("eval"), size, number).repartition(parts, "k").alias("b")
     # texts whose lengths differ by more than the edits allowed need no comparison
     sized = F.abs(F.col("a.size") - F.col("b.size")) <= share * F.greatest("a.size", "b.size")
     near = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.c") != F.col("b.c")) & sized & (_far("a", "b") <= radius))

@@ -100,3 +100,33 @@ def test_blocks_follow_the_number_of_texts():
     for n, bits, least in ((0, 16, 50), (200_000, 18, 70), (10**9, 30, 400)):
         size, number = overlap.plan_blocks(n)
         assert size == bits and number >= least and overlap._blocks(size, number).shape == (number, size)
+
+
+def _edited_pairs(rng):
+    """Records with all the edits that are allowed, spent on a repeated name, on one character and on the rarest characters."""
+    common = [chr(0x4E00 + i) for i in range(60)]
+    word = lambda n: "".join(rng.choice(common) for _ in range(n))
+    for i in range(300):
+        names = ["".join(chr(rng.randrange(0x6000, 0x9000)) for _ in range(3)) for _ in range(2)]
+        q, o = "".join(word(21) + names[0] for _ in range(4)), [word(6) for _ in range(4)]
+        if i % 3 == 0:  # a name of 3 characters in 4 places
+            changed = q.replace(*names)
+        elif i % 3 == 1:  # one character in 12 places
+            at = set(rng.sample(range(len(q)), 12))
+            changed = "".join(names[1][0] if j in at else c for j, c in enumerate(q))
+        else:  # the rarest characters by others that are as rare
+            changed = "".join(c if c in common else chr(rng.randrange(0x6000, 0x9000)) for c in q)
+        assert alike(q, sorted(o), changed, sorted(o))
+        yield i, q, changed, o
+
+
+def test_edits_of_any_kind_are_found(spark):
+    pairs = list(_edited_pairs(random.Random(12)))
+    rows = [(i, "train", q, o) for i, q, _, o in pairs] + [(1000 + i, "val", changed, o) for i, _, changed, o in pairs]
+    got = {(r.train_key, r.eval_key) for r in overlap_pairs(_df(spark, rows)).collect()}
+    assert [i for i, *_ in pairs if (i, 1000 + i) not in got] == []
+
+
+def test_blocks_miss_few_of_the_farthest_pairs():
+    for n in (0, 200_000, 10**9):
+        assert overlap.missed(*overlap.plan_blocks(n)) <= overlap.MISSED
