@@ -1,10 +1,11 @@
 r"""Problem 9: documents with template residue, filler, error-page messages or notices that scripts are required.
 
-Method: lines are normalised and counted by host (the source); lines that recur across many documents of a host and show
-no evidence themselves are its boilerplate and are subtracted; the sentences that are left are searched for evidence.
+Method: the sentences of all lines are searched for evidence, recurring ones too, as a notice on many pages is still residue.
+Lines are normalised and counted by host (the source); lines that recur across many documents of a host are its boilerplate
+and are subtracted from documents without evidence, to see whether one letter repeated is all that is left.
 Sentences that talk about templates, errors or scripts, and blanks for examinees, are no evidence.
 
-Defined cases: a document is found if any sentence of its residual text is evidence, or if all that is left is one letter
+Defined cases: a document is found if any sentence of its text is evidence, or if all that is left is one letter
 repeated. Null, empty and blank texts are never found. A null source is a host of its own. Width, look-alike letters,
 invisible characters, the kind of blank and letter case do not matter. Texts are read whole. Repeated rows are judged
 alike; boilerplate is counted by document, not by row, where ids repeat.

@@ -62,6 +62,12 @@ def test_documents_and_boilerplate(spark):
     assert got == {100: ["filler"], 103: ["error"], 107: ["script_required"], 108: ["filler"]}
 
 
+def test_recurring_notice_is_found_on_pages_with_content(spark):
+    rows = [(i, f"第{i}种药物可上调血压。\n请启用JS后提交答案", "notes") for i in range(12)] + [(99, "某药可上调血压。\n上一题 | 下一题", "notes")]
+    got = {r.doc_id: r.kinds for r in residue_documents(_docs(spark, rows)).collect()}
+    assert got == {i: ["script_required"] for i in range(12)}
+
+
 def test_empty_table(spark):
     assert residue_documents(_docs(spark, [])).count() == 0
 
