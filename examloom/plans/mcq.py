@@ -189,8 +189,18 @@ def prompt_round_trip(spark, d):
     edge = r"\n|^[\p{Z}\s]|[\p{Z}\s]$"
     a = _whole(spark, d).filter(~F.col("question").rlike(edge) & ~F.exists("options", lambda o: o["text"].rlike(edge)))
     a = a.filter(F.array_join(F.transform("options", lambda o: o["letter"]), "") == F.substring(F.lit("ABCDEFG"), F.lit(1), F.size("options")))
+    return _parsed_again(a)
+
+
+def _parsed_again(a):
     p = prompts.parse_user(prompts.render_user(F.col("question"), F.col("options"), "direct"))
-    return a.select("row_id", ((p["question"] == F.col("question")) & (p["options"] == F.col("options"))).alias("same"))
+    return a.select("row_id", F.coalesce((p["question"] == F.col("question")) & (p["options"] == F.col("options")), F.lit(False)).alias("same"))
+
+
+@register("prompt_round_trip_all")
+def prompt_round_trip_all(spark, d):
+    """Every row with question and options; false where line breaks, blanks at the ends, null texts or odd letters do not come back."""
+    return _parsed_again(_whole(spark, d))
 
 
 _OPTS = "array_to_string(list_transform(options, lambda o: o.text), ' ')"

@@ -70,13 +70,23 @@ def sheet_round_trip(spark, d):
     a = load(spark, d, "build_ablation_sets").filter("question is not null and options is not null")
     texts = prompts.option_texts(F.col("options"))
     a = a.filter(~F.array_join(texts, "").rlike(r"[\n\r\x0b\x0c\x1c-\x1e\x85]") & ~F.exists(texts, lambda t: text.display_text(t) == "") & ~F.exists("options", lambda o: ~o["letter"].rlike("^[A-Z]$")))
-    path = f"{scratch_dir(spark)}/sheet"
+    return _checked_sheet(spark, a, "sheet")
+
+
+def _checked_sheet(spark, a, name):
+    path = f"{scratch_dir(spark)}/{name}"
     sheet = a.select("row_id", F.col("question").alias("Question"), prompts.render_options(F.col("options")).alias("Options"), F.col("gold").alias("Answer"))
     sheet.write.mode("overwrite").csv(path, header=True, escape='"', quoteAll=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     r = files.read_sheet(spark, path)
     return r.select(F.col("row_id").cast("long").alias("row_id"), parse_sheet_row(F.col("Question"), F.col("Options"), F.col("Answer"))["reason"].alias("reason"))
 
 
+@register("sheet_round_trip_all")
+def sheet_round_trip_all(spark, d):
+    """Every row with question and options; line ends in texts, empty options and odd letters are reasons too."""
+    return _checked_sheet(spark, load(spark, d, "build_ablation_sets").filter("question is not null and options is not null"), "sheet_all")
+
+
 @register("token_advantages", "WITH m AS (SELECT event_type, avg(value) AS a FROM events GROUP BY 1), p AS (SELECT event_id, event_type, user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS c FROM events) SELECT event_id, round(CASE WHEN event_id % 4 > 0 THEN a + 0.5 * coalesce(c, 0) ELSE 0 END, 6) AS advantage FROM p JOIN m USING (event_type)")
 def token_advantages(spark, d):
     from pyspark.sql import Window

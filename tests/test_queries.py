@@ -54,3 +54,26 @@ def test_query(spark, sf, duck, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["outcome", "n"] and df.count() > 0
+
+
+def _round_trip_rows(spark, path):
+    abc = lambda *t: list(zip("ABCDEFG", t))
+    cases = [
+        ("问", abc("甲", "乙", "丙"), True, None), ("问\n题", abc("甲", "乙", "丙"), True, None), (" 问", abc("甲", "乙", "丙"), False, None), ("问", abc("甲", "乙\n丙", "丁"), False, "invalid_option_line"), ("问", abc("甲", " 乙", "丙"), False, None),
+        ("问", [("A", "甲"), ("C", "乙"), ("B", "丙")], False, "invalid_option_sequence"), ("问", abc("甲", "", "丙"), True, "invalid_option_line"), ("问", abc("甲", None, "丙"), False, "invalid_option_line"), ("问", [("a", "甲"), ("b", "乙"), ("c", "丙")], False, "invalid_option_line"),
+        ("问", [], False, "empty_options"), ("  ", abc("甲", "乙", "丙"), False, "empty_question"), (None, abc("甲", "乙", "丙"), None, None), ("问", None, None, None),
+    ]
+    rows = [(i, q, o, "A") for i, (q, o, *_) in enumerate(cases)]
+    spark.createDataFrame(rows, "row_id long, question string, options array<struct<letter:string,text:string>>, gold string").write.parquet(f"{path}/build_ablation_sets.parquet")
+    return cases
+
+
+def test_round_trips_of_every_row(spark, sf, tmp_path):
+    cases = _round_trip_rows(spark, tmp_path)
+    whole = [i for i, c in enumerate(cases) if c[0] is not None and c[1] is not None]
+    assert {r.row_id: r.same for r in QUERIES["prompt_round_trip_all"](spark, str(tmp_path)).collect()} == {i: cases[i][2] for i in whole}
+    assert {r.row_id: r.reason for r in QUERIES["sheet_round_trip_all"](spark, str(tmp_path)).collect()} == {i: cases[i][3] for i in whole}
+    n = spark.read.parquet(f"{sf}/build_ablation_sets.parquet").filter("question is not null and options is not null").count()
+    for name, column in (("prompt_round_trip", "same"), ("sheet_round_trip", "reason")):
+        some, every = ([(r.row_id, r[column]) for r in QUERIES[x](spark, sf).collect()] for x in (name, f"{name}_all"))
+        assert len(every) == n > len(some) and set(some) <= set(every)
