@@ -54,7 +54,7 @@ def strip(text: Column) -> Column:
 
 def explanation_text(text: Column) -> Column:
     """Unix line ends, no blanks at line ends or at the ends of the text."""
-    return strip(F.regexp_replace(unix_lines(F.coalesce(text, F.lit(""))), r"[\p{IsWhite_Space}&&[^\n]]+(?=\n|$)", ""))
+    return strip(F.regexp_replace(unix_lines(F.coalesce(text, F.lit(""))), rf"[{SPACE}&&[^\n]]+(?=\n|$)", ""))
 
 
 def stable_hash(separator: str, *parts: Column) -> Column:

@@ -77,3 +77,15 @@ def test_round_trips_of_every_row(spark, sf, tmp_path):
     for name, column in (("prompt_round_trip", "same"), ("sheet_round_trip", "reason")):
         some, every = ([(r.row_id, r[column]) for r in QUERIES[x](spark, sf).collect()] for x in (name, f"{name}_all"))
         assert len(every) == n > len(some) and set(some) <= set(every)
+
+
+def test_explanations_of_every_document(spark, tmp_path):
+    import duckdb
+
+    ends = ["\x1c", "\x1d", "\x1e", "\x1f", " \x1f\t", "\x85", "\u2028 ", "\u3000"]
+    texts = [None, "", "\x1f", *(f"解{e}\n析{e}中{e}\r\n{e}\r尾{e}" for e in ends), *(f"解{e}\n\n{e}\n析" for e in ends)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    got = {r.doc_id: r.text_hash for r in QUERIES["explanations"](spark, str(tmp_path)).collect()}
+    every = SQL["explanations"].partition(" WHERE ")[0].replace("FROM documents", f"FROM read_parquet('{path}/*.parquet')")
+    assert got == dict(duckdb.sql(every).fetchall()) and len(got) == len(texts)
