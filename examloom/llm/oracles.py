@@ -28,6 +28,11 @@ WITH r AS (SELECT row_id, {_norm("question")} AS q,
 g AS (SELECT row_id, min(row_id) OVER (PARTITION BY q, o) AS first_row_id, count(*) OVER (PARTITION BY q, o) AS copies FROM r)
 """
 
+_P5 = """
+WITH o AS (SELECT b AS bucket, row_number() OVER (ORDER BY md5('perm:' || b), b) - 1 AS place FROM range(4096) t(b)),
+k AS (SELECT *, md5(coalesce('s' || sample_id, 'r' || row_id) || '|' || coalesce('u' || unit, '-')) AS h FROM build_ablation_sets),
+w AS (SELECT k.*, ((strpos('0123456789abcdef', h[1]) - 1) * 256 + (strpos('0123456789abcdef', h[2]) - 1) * 16 + strpos('0123456789abcdef', h[3]) - 1)::INTEGER AS bucket FROM k)"""
+
 SQL = {
     "p1_found": _P1 + "SELECT plan_name, exam_type, question_type FROM r WHERE quota > available",
     "p1_report": _P1 + """SELECT plan_name, exam_type, question_type, target_share, quota, available, selected, quota - selected AS deficit,
@@ -41,18 +46,10 @@ g AS (SELECT DISTINCT u AS a, hub AS b FROM e JOIN m USING (s) WHERE u <> hub),
 h AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
 r AS (SELECT DISTINCT a AS x, a AS y FROM h UNION SELECT r.x, h.b FROM r JOIN h ON r.y = h.a)
 SELECT min(y) AS unit_a, x AS unit_b FROM r GROUP BY x HAVING min(y) <> x""",
-    "p5_sample": """
-WITH o AS (SELECT b AS bucket, row_number() OVER (ORDER BY md5('perm:' || b), b) - 1 AS place FROM range(4096) t(b)),
-k AS (SELECT *, md5(coalesce('s' || sample_id, 'r' || row_id) || '|' || coalesce('u' || unit, '-')) AS h FROM build_ablation_sets),
-w AS (SELECT k.*, ((strpos('0123456789abcdef', h[1]) - 1) * 256 + (strpos('0123456789abcdef', h[2]) - 1) * 16 + strpos('0123456789abcdef', h[3]) - 1)::INTEGER AS bucket FROM k),
-p AS (SELECT w.*, place FROM w JOIN o USING (bucket)),
-c AS (SELECT b.batch, place, count(*) AS k FROM (SELECT DISTINCT batch FROM p) b JOIN p ON p.batch <= b.batch GROUP BY ALL),
-s AS (SELECT batch, place, sum(k) OVER (PARTITION BY batch ORDER BY place) - k AS before, sum(k) OVER (PARTITION BY batch) AS total FROM c),
-l AS (SELECT g.batch, place FROM (SELECT DISTINCT batch FROM p) g, o),
-d AS (SELECT l.batch, l.place, coalesce(c.k, 0) AS k FROM l LEFT JOIN c USING (batch, place)),
-s2 AS (SELECT batch, place, sum(k) OVER (PARTITION BY batch ORDER BY place) - k AS before, sum(k) OVER (PARTITION BY batch) AS total FROM d),
-n AS (SELECT batch, max(place) AS last FROM s2 WHERE before < total * 0.1 GROUP BY batch),
-a AS (SELECT batch, max(last) OVER (ORDER BY batch) AS last FROM n)
-SELECT row_id, sample_id, unit, batch, bucket, greatest(batch, (SELECT min(a.batch) FROM a WHERE a.last >= p.place)) AS chosen_from
-FROM p WHERE place <= (SELECT max(last) FROM a)""",
+    "p5_sample": _P5 + """
+SELECT row_id, sample_id, unit, batch, bucket, batch AS chosen_from FROM w WHERE bucket IN (SELECT bucket FROM o WHERE place < 410)""",
+    "p5_list": _P5 + """,
+n AS (SELECT bucket, place, coalesce(k, 0) AS k, sum(coalesce(k, 0)) OVER () AS total, sum(coalesce(k, 0)) OVER (ORDER BY place) - coalesce(k, 0) AS before
+  FROM o LEFT JOIN (SELECT bucket, count(*) AS k FROM w GROUP BY 1) USING (bucket))
+SELECT bucket, place::INTEGER AS place, CASE WHEN place >= 410 THEN (SELECT max(batch) FROM w) END AS since FROM n WHERE place < 410 OR before < total * 0.1""",
 }

@@ -59,6 +59,11 @@ def p5_sample(spark, d):
     return s.select("row_id", "sample_id", "unit", "batch", "bucket", "chosen_from")
 
 
+def p5_list(spark, d):
+    """The list of a sample of one tenth, started before any data and extended by the whole table."""
+    return stable_sample.extend_list(_t(spark, d, "build_ablation_sets"), rate=0.1)
+
+
 def p3_found(spark, d):
     q = lookalike.same_looking_pairs(_t(spark, d, "build_cmb_train_sft"), "row_id", "question").select(F.lit("question").alias("field"), "key_a", "key_b")
     a = lookalike.same_looking_pairs(_t(spark, d, "score_cmb"), "score_id", "answer", "id").select(F.lit("answer").alias("field"), "key_a", "key_b")
@@ -108,7 +113,7 @@ def p9_found(spark, d):
 
 _ALL = [
     p1_found, p1_sample, p1_report, p2_found, p2_records, p3_found, p3_questions, p3_answers, p4_found, p4_splits, p4_split_shares,
-    p5_sample, p6_found, p6_report, p7_ids, p8_found, p8_report, p8_mixture, p9_found, p9_kinds,
+    p5_sample, p5_list, p6_found, p6_report, p7_ids, p8_found, p8_report, p8_mixture, p9_found, p9_kinds,
 ]
 
 
