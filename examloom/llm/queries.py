@@ -49,9 +49,7 @@ def p4_splits(spark, d):
 
 
 def p4_split_shares(spark, d):
-    s = p4_splits(spark, d)
-    g = s.groupBy("split").agg(F.count("*").alias("n_rows"))
-    return g.join(F.broadcast(_t(spark, d, "split_targets")), "split", "full")
+    return related_splits.split_shares(p4_splits(spark, d), _t(spark, d, "split_targets"))
 
 
 def p5_sample(spark, d):

@@ -2,9 +2,9 @@
 
 Method: frontier breadth-first components. Adjacency lists are hash-partitioned by node; the seeds are the nodes whose
 hash is the smallest among their neighbours (at least one a component, so none is missed); all seeds are expanded
-together, level by level; edges between differently labelled nodes make a small graph of seed labels, which is merged by
+together, two levels in a job; edges between differently labelled nodes make a small graph of seed labels, which is merged by
 the same steps until no edge is left. Paths to the nearest seed are short whatever the diameter, so a long chain needs a
-logarithmic number of rounds. Components get their split in the order of their hash.
+logarithmic number of rounds. Components get their split in the order of their hash, whatever their size.
 
 Defined cases: units are related if they share a non-null record id, directly or through other units. Null and empty
 units relate nothing; such a row follows its record id, and a row without both is alone. Repeated rows change nothing.
@@ -13,16 +13,18 @@ Empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import permutations
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from examloom.llm._common import salted_join
 from examloom.session import materialize
 
-#: A component with at least one row in so many is placed by hand; there are never more than this number.
-LARGE = 1000
-#: Resolution of the order of components: two histograms of 4096 slices.
+#: Resolution of the order of components: 4096 slices, each of 4096 hashes.
 SLICES = 4096
+#: Shares within this of their targets are met; up to so many splits are put in other orders where they are not.
+TOLERANCE, MOST_ORDERED = 0.01, 5
 
 
 def unit_edges(rows: DataFrame, unit: str, record: str) -> DataFrame:
@@ -34,41 +36,45 @@ def unit_edges(rows: DataFrame, unit: str, record: str) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of all nodes of a symmetric edge list; nodes of a component share a label, one of the nodes."""
-    chain = None
+    """(node, label) of all nodes of a symmetric edge list; nodes of a component share a label, one of the nodes.
+
+    A round is two jobs: its adjacency and its labels are written, everything else is derived. Edges inside a label leave,
+    so a finished component costs nothing in later rounds. The labels of all rounds are put together at the end, from the
+    smallest table to the largest.
+    """
+    levels: list[DataFrame] = []
     while True:
         adj = materialize(edges.hint("rebalance", "src"), "adjacency")  # by node, but a hub with very many edges is split
         if adj.isEmpty():
             break
-        level = _expand(adj)
-        chain = level if chain is None else materialize(_compose(chain, level), "labels")
-        label = lambda end: level.select(F.col("node").alias(end), F.col("label").alias(end + "_label"))
-        edges = adj.join(label("src"), "src").join(label("dst"), "dst").filter("src_label != dst_label")
-        edges = edges.select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst")).distinct()
-    return chain if chain is not None else adj.select(F.col("src").alias("node"), F.col("src").alias("label"))
-
-
-def _compose(chain: DataFrame, level: DataFrame) -> DataFrame:
-    """Labels followed one step further. The skewed side is split by Spark at run time, the other has one row a label."""
-    step = level.select(F.col("node").alias("label"), F.col("label").alias("next"))
-    return chain.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+        level = materialize(_expand(adj), "labels")
+        levels.append(level)
+        end = lambda c: level.select(F.col("node").alias(c), F.col("label").alias(c + "_label"))  # noqa: E731,B023
+        met = adj.join(end("src"), "src").join(end("dst"), "dst").filter("src_label != dst_label")
+        edges = met.select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst")).distinct()
+    if not levels:
+        return adj.select(F.col("src").alias("node"), F.col("src").alias("label"))
+    labels = levels.pop()
+    while levels:
+        step = labels.select(F.col("node").alias("label"), F.col("label").alias("_next"))
+        labels = levels.pop().join(step, "label", "left").select("node", F.coalesce("_next", "label").alias("label"))
+    return labels
 
 
 def _expand(adj: DataFrame) -> DataFrame:
-    """One round: label every node of the graph with a seed by breadth-first search from all seeds at once."""
+    """One round: breadth-first search from all seeds at once, two steps deep.
+
+    Seeds are the nodes whose hash is the smallest among their neighbours. A node that no seed reaches in two steps keeps
+    its own name and is reached, under the names of this round's labels, in a later one.
+    """
     rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-    least = adj.groupBy("src").agg(F.min(rank("dst")).alias("best"))
-    done = materialize(least.filter(rank("src") < F.col("best")).select(F.col("src").alias("node"), F.col("src").alias("label")), "seeds")
-    parts, frontier = [done], done
-    while True:
-        met = frontier.select(F.col("node").alias("src"), "label").join(adj, "src").select(F.col("dst").alias("node"), "label")
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.union(p)
-        new = materialize(met.join(known.select("node"), "node", "left_anti").groupBy("node").agg(F.min("label").alias("label")), "frontier")
-        if new.isEmpty():
-            return known
-        parts, frontier = [*parts, new], new
+    nodes = adj.groupBy("src").agg(F.min(rank("dst")).alias("best")).select(F.col("src").alias("node"), (rank("src") < F.col("best")).alias("seed"))
+    first = nodes.filter("seed").select(F.col("node").alias("src"), F.col("node").alias("label"))
+    near = first.join(adj, "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
+    # no two seeds are neighbours, so what is near one is no seed
+    far = near.select(F.col("node").alias("src"), "label").join(adj, "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label2"))
+    known = nodes.join(near, "node", "left").join(far, "node", "left")
+    return known.select("node", F.when(F.col("seed"), F.col("node")).otherwise(F.coalesce("label", "label2", "node")).alias("label"))
 
 
 def related_units(rows: DataFrame, unit: str = "unit", record: str = "sample_id") -> DataFrame:
@@ -95,55 +101,85 @@ def group_keys(rows: DataFrame, unit: str = "unit", record: str = "sample_id") -
     return named.withColumn("group_key", key).drop("_u", "_s")
 
 
-def split_related(rows: DataFrame, targets: DataFrame, unit: str = "unit", record: str = "sample_id", row: str = "row_id") -> DataFrame:
-    """(row, group_key, split): shares of rows as in targets (split, target_share), related rows never separated.
-
-    Components of at least a thousandth of all rows (so a thousand at most) go to the split with the most room; the
-    others, ordered by hash, fill what is left. The cuts are hash values, found from two histograms, so that rows need
-    no join to learn their split.
-    """
+def split_keys(rows: DataFrame, unit: str = "unit", record: str = "sample_id", row: str = "row_id") -> DataFrame:
+    """(_row, group_key, _h): the key of every row and the place of its component in the order of hashes, 24 bits."""
     keyed = group_keys(rows, unit, record).select(F.col(row).alias("_row"), F.coalesce("group_key", F.concat(F.lit("x:"), F.col(row).cast("string"))).alias("group_key"))
-    keyed = materialize(keyed.withColumn("_h", F.shiftrightunsigned(F.xxhash64("group_key"), 40).cast("int")), "keyed")
-    plan = [(r[0], float(r[1] or 0)) for r in targets.select("split", "target_share").orderBy(F.col("target_share").desc(), "split").collect()]
-    total, whole = keyed.count(), sum(s for _, s in plan) or 1.0
-    large = keyed.groupBy("group_key", "_h").agg(F.count("*").alias("n")).filter(F.col("n") * LARGE >= total).orderBy(F.col("n").desc(), "group_key").limit(LARGE).collect()
-    room = {s: total * w / whole for s, w in plan}
-    fixed = {}
-    for r in large:
-        best = max(room, key=lambda s: room[s])
-        fixed[r["group_key"]] = best
-        room[best] -= r["n"]
-    rest = keyed
-    if fixed:
-        known = F.broadcast(keyed.sparkSession.createDataFrame(list(fixed.items()), "group_key string, _fixed string"))
-        keyed = keyed.join(known, "group_key", "left")
-        rest = keyed.filter("_fixed is null")
-    else:
-        keyed = keyed.withColumn("_fixed", F.lit(None).cast("string"))
-    left = rest.count()
-    open_ = {s: max(0.0, x) for s, x in room.items()}
-    scale = left / (sum(open_.values()) or 1.0)
-    coarse = dict(rest.groupBy(F.floor(F.col("_h") / SLICES).cast("int").alias("b")).count().collect())
-    cuts, upto = [], 0.0
-    for s, _ in plan[:-1]:
-        upto += open_[s] * scale
-        cuts.append((s, _cut(rest, coarse, upto)))
-    split = F.lit(plan[-1][0]) if plan else F.lit(None).cast("string")
-    for s, c in reversed(cuts):
-        split = F.when(F.col("_h") < c, F.lit(s)).otherwise(split)
-    return keyed.select(F.col("_row").alias(row), "group_key", F.coalesce("_fixed", split).alias("split"))
+    return keyed.withColumn("_h", F.shiftrightunsigned(F.xxhash64("group_key"), 40).cast("int"))
+
 
+def plan_cuts(keyed: DataFrame, targets: DataFrame) -> list[tuple[str, int]]:
+    """[(split, hash below which it ends)] of consecutive stretches of the order of hashes, shares as in targets.
 
-def _cut(rest: DataFrame, coarse: dict[int, int], want: float) -> int:
-    """The hash value below which about ``want`` rows lie."""
+    Splits come in the order of their shares, the largest first. Where a component of very many rows lies across a cut of
+    the smaller splits, another order of the splits is taken that keeps it inside one stretch: the first one whose shares are all
+    within TOLERANCE, or else the one nearest to the targets. Store the cuts and pass them in again to keep every component in its
+    split while the table grows.
+    """
+    plan = [(r[0], max(0.0, float(r[1] or 0))) for r in targets.select("split", "target_share").orderBy(F.col("target_share").desc(), "split").collect()]
+    whole = sum(s for _, s in plan) or 1.0
+    coarse = dict(keyed.groupBy(F.shiftright("_h", 12).alias("b")).count().collect())  # at most 4096 slices
+    total = sum(coarse.values())
+    orders = list(permutations(plan)) if len(plan) <= MOST_ORDERED else [tuple(plan)]
+    fine: dict[int, list[int]] = {}
+    wanted = {sum(s for _, s in o[: i + 1]) / whole * total for o in orders for i in range(len(o) - 1)}
+    ends = {w: _slice_of(coarse, w) for w in wanted}
+    inside = sorted({b for b, _ in ends.values() if b < SLICES})
+    if inside:
+        for r in keyed.filter(F.shiftright("_h", 12).isin(inside)).groupBy("_h").count().collect():  # at most 4096 a slice
+            fine.setdefault(r["_h"] >> 12, [0] * SLICES)[r["_h"] & (SLICES - 1)] = r["count"]
+    best = None
+    for o in orders:
+        cuts, seen, off = [], 0, 0.0
+        for i, (name, share) in enumerate(o):
+            upto, rows_upto = (SLICES * SLICES, total) if i == len(o) - 1 else _cut(*ends[sum(s for _, s in o[: i + 1]) / whole * total], fine, sum(s for _, s in o[: i + 1]) / whole * total)
+            off = max(off, abs(rows_upto - seen - share / whole * total))
+            cuts.append((name, upto))
+            seen = rows_upto
+        if off <= TOLERANCE * total:
+            return cuts
+        if best is None or off < best[0]:
+            best = (off, cuts)
+    return best[1] if best else []
+
+
+def _slice_of(coarse: dict[int, int], want: float) -> tuple[int, int]:
+    """(slice in which the cut lies, rows before it)."""
     seen = 0
     for b in range(SLICES):
         k = coarse.get(b, 0)
         if seen + k > want:
-            fine = dict(rest.filter(F.floor(F.col("_h") / SLICES) == b).groupBy("_h").count().collect())
-            for h in range(b * SLICES, (b + 1) * SLICES):
-                if seen + fine.get(h, 0) > want:
-                    return h if want - seen < seen + fine.get(h, 0) - want else h + 1
-                seen += fine.get(h, 0)
+            return b, seen
         seen += k
-    return SLICES * SLICES
+    return SLICES, seen
+
+
+def _cut(b: int, seen: int, fine: dict[int, list[int]], want: float) -> tuple[int, int]:
+    """(hash below which about ``want`` rows lie, their number); a component goes to the side that is nearer."""
+    for i, k in enumerate(fine.get(b, [])):
+        if seen + k > want:
+            return (b * SLICES + i, seen) if want - seen < seen + k - want else (b * SLICES + i + 1, seen + k)
+        seen += k
+    return b * SLICES, seen
+
+
+def split_related(rows: DataFrame, targets: DataFrame, unit: str = "unit", record: str = "sample_id", row: str = "row_id", cuts: list[tuple[str, int]] | None = None) -> DataFrame:
+    """(row, group_key, split): shares of rows as in targets (split, target_share), related rows never separated.
+
+    Every component, whatever its size, gets its split by the place of its hash among the cuts, so rows need no join to
+    learn it. How far a component of many rows moves a share from its target is seen in split_shares.
+    """
+    keyed = materialize(split_keys(rows, unit, record, row), "keyed")
+    cuts = plan_cuts(keyed, targets) if cuts is None else cuts
+    split = F.lit(cuts[-1][0]) if cuts else F.lit(None).cast("string")
+    for s, c in reversed(cuts[:-1]):
+        split = F.when(F.col("_h") < c, F.lit(s)).otherwise(split)
+    return keyed.select(F.col("_row").alias(row), "group_key", split.alias("split"))
+
+
+def split_shares(splits: DataFrame, targets: DataFrame) -> DataFrame:
+    """(split, n_rows, n_groups, largest_group, target_share, actual_share, deviation) of every split of the targets."""
+    groups = splits.groupBy("split", "group_key").agg(F.count("*").alias("n"))
+    g = groups.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_groups"), F.max("n").alias("largest_group"))
+    g = targets.select("split", F.coalesce("target_share", F.lit(0.0)).alias("target_share")).join(g, "split", "left").fillna(0, ["n_rows", "n_groups", "largest_group"])
+    g = g.withColumn("actual_share", F.col("n_rows") / F.nullif(F.sum("n_rows").over(Window.partitionBy()), F.lit(0)))
+    return g.withColumn("deviation", F.col("actual_share") - F.col("target_share"))

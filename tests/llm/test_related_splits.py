@@ -1,6 +1,6 @@
 import random
 
-from examloom.llm.related_splits import group_keys, related_units, split_related
+from examloom.llm.related_splits import group_keys, plan_cuts, related_units, split_keys, split_related, split_shares
 
 ROWS = "row_id long, sample_id string, unit string, group_key string, label int"
 
@@ -69,3 +69,32 @@ def test_splits_keep_groups_and_shares(spark):
     assert again == {i: r.split for i, r in got.items()}
     assert split_related(_df(spark, []), targets).count() == 0
     assert group_keys(df).columns == df.columns and group_keys(df).filter("group_key = 'x'").count() == 0
+
+
+def _split(spark, rows, targets, **more):
+    return {r.row_id: r.split for r in split_related(_df(spark, rows), targets, **more).collect()}
+
+
+def test_growth_moves_only_components_at_a_cut(spark):
+    targets = spark.createDataFrame([("train", 0.8), ("val", 0.1), ("test", 0.1)], "split string, target_share double")
+    rows = [(f"u{i // 2}", f"s{i}") for i in range(1000)]
+    new = [(f"v{i // 2}", f"t{i}") for i in range(3000)]
+    before = _split(spark, rows, targets)
+    after = _split(spark, rows + new, targets)
+    # the cuts move by their sampling error at most: a hundredth of the order or two
+    assert sum(before[i] != after[i] for i in before) <= 60
+    cuts = plan_cuts(split_keys(_df(spark, rows)), targets)
+    assert _split(spark, rows, targets, cuts=cuts) == before
+    kept = _split(spark, rows + new, targets, cuts=cuts)
+    assert {i: kept[i] for i in before} == before
+
+
+def test_giant_component_leaves_room_for_small_splits(spark):
+    targets = spark.createDataFrame([("train", 0.8), ("val", 0.1), ("test", 0.1)], "split string, target_share double")
+    for name in range(6):
+        rows = [(f"giant{name}", f"b{i}") for i in range(600)] + [(f"u{i}", f"s{i}") for i in range(1400)]
+        shares = {r.split: r for r in split_shares(split_related(_df(spark, rows), targets), targets).collect()}
+        assert all(abs(r.deviation) < 0.02 for r in shares.values()), shares
+        assert max(r.largest_group for r in shares.values()) == 600
+    none = spark.createDataFrame([], "split string, target_share double")
+    assert split_related(_df(spark, rows), none).filter("split is null").count() == 2000
