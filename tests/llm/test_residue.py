@@ -1,7 +1,8 @@
 import pytest
-from pyspark.sql import functions as F
 
-from examloom.llm.residue import evidence, folded, lines, residue_documents, sentences
+from examloom.llm import residue
+from examloom.llm.residue import evidence, lines, residue_documents
+from residue_cases import HELD_CONTENT, HELD_RESIDUE
 
 RESIDUE = [
     ("placeholder", "患者{{{user_name}}}，因[考试名称待填]入院"), ("placeholder", "亲爱的【请填写题干】同学"), ("placeholder", "Question: ${option_a}"), ("placeholder", "Answer: undefined"),
@@ -17,15 +18,12 @@ CONTENT = [
 ]
 
 
-def _kinds(spark, texts):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    d = df.select("i", F.explode_outer(lines(folded(F.col("t")))).alias("l")).select("i", F.explode_outer(sentences(F.col("l"))).alias("s")).select("i", evidence(F.col("s")).alias("k"))
-    return {r.i: r.k for r in d.groupBy("i").agg(F.max("k").alias("k")).collect()}
+def _kind(text):
+    return next((k for k in map(evidence, lines(text)) if k), None)
 
 
-def test_residue_is_found(spark):
-    got = _kinds(spark, [t for _, t in RESIDUE])
-    assert [(got[i], t) for i, (_, t) in enumerate(RESIDUE)] == RESIDUE
+def test_residue_is_found():
+    assert [(_kind(t), t) for _, t in RESIDUE] == RESIDUE
 
 
 #: Sentences without any word but the ones of their own pattern.
@@ -36,15 +34,26 @@ BARE = [
 
 
 def test_bare_residue_is_found(spark):
-    got = _kinds(spark, [t for _, t in BARE])
-    assert [(got[i], t) for i, (_, t) in enumerate(BARE)] == BARE
+    assert [(_kind(t), t) for _, t in BARE] == BARE
     rows = [(i, f"下列说法正确的是\n{t}", "notes") for i, (_, t) in enumerate(BARE)]
     assert {r.doc_id: r.kinds for r in residue_documents(_docs(spark, rows)).collect()} == {i: [k] for i, (k, _) in enumerate(BARE)}
 
 
-def test_talk_and_content_are_not(spark):
-    got = _kinds(spark, CONTENT)
-    assert [t for i, t in enumerate(CONTENT) if got[i]] == []
+def test_talk_and_content_are_not():
+    assert [t for t in CONTENT if _kind(t)] == []
+
+
+def test_held_out_sentences():
+    hit, false = sum(_kind(t) is not None for t in HELD_RESIDUE), sum(_kind(t) is not None for t in HELD_CONTENT)
+    assert hit >= 0.9 * len(HELD_RESIDUE) and hit >= 0.9 * (hit + false)
+
+
+@pytest.mark.parametrize("text", [*(t for _, t in RESIDUE + BARE), *HELD_RESIDUE])
+def test_strings_of_a_rule_are_in_whatever_it_matches(text):
+    for line in lines(text):
+        for (_, strings, _), (_, pattern) in zip(residue.RULES, residue._COMPILED, strict=True):
+            if pattern.search(line):
+                assert any(x in line for x in strings), (pattern.pattern, line)
 
 
 SCHEMA = "doc_id long, text string, source string, doc string, keys int"
@@ -62,10 +71,33 @@ def test_documents_and_boilerplate(spark):
     assert got == {100: ["filler"], 103: ["error"], 107: ["script_required"], 108: ["filler"]}
 
 
-def test_recurring_notice_is_found_on_pages_with_content(spark):
-    rows = [(i, f"第{i}种药物可上调血压。\n请启用JS后提交答案", "notes") for i in range(12)] + [(99, "某药可上调血压。\n上一题 | 下一题", "notes")]
-    got = {r.doc_id: r.kinds for r in residue_documents(_docs(spark, rows)).collect()}
-    assert got == {i: ["script_required"] for i in range(12)}
+FOOTER = "Please enable JavaScript"
+
+
+def test_footer_takes_no_page_with_content_away(spark):
+    rows = [(i, f"第{i}种药物可上调血压，见{'甲乙丙丁戊己庚辛壬癸'[i % 10]}{'子丑寅卯辰'[i % 5]}章第{i // 10}节。\n{FOOTER}", "notes") for i in range(200)]
+    rows = [(i, t.replace("第", "第" + chr(0x4E00 + i), 1), h) for i, t, h in rows]
+    bad = [(300, f"出错了！请求超时\n{FOOTER}", "notes"), (301, f"TBD\n{FOOTER}", "notes")]
+    whole = [(310, FOOTER, "notes")]
+    got = {r.doc_id: r.kinds for r in residue_documents(_docs(spark, rows + bad + whole)).collect()}
+    assert got == {300: ["error"], 301: ["filler"], 310: ["script_required"]}
+    # without subtraction every page would go
+    assert residue_documents(_docs(spark, rows + bad + whole), least_docs=10**9).count() == 203
+    # nor where the share asked for is not reached
+    assert residue_documents(_docs(spark, rows + bad + whole), least_share=1.01).count() == 203
+
+
+def test_repeated_documents(spark):
+    same = [(i, "某药可上调血压。\n次日复查。", "glossary") for i in range(20)]
+    page = [(100 + i, "出错了！请求超时\n返回首页", "web") for i in range(20)]
+    got = {r.doc_id: r.kinds for r in residue_documents(_docs(spark, same + page)).collect()}
+    assert got == {100 + i: ["error"] for i in range(20)}
+
+
+def test_one_host_with_most_lines_stays_whole(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 5000)}{chr(0x5E00 + i // 7 % 900)}药可上调血压。\n{FOOTER}" + ("\n暂无解析" if i == 17 else ""), "hot" if i % 3 else f"h{i}") for i in range(3000)]
+    got = {r.doc_id for r in residue_documents(_docs(spark, rows)).collect()}
+    assert got == {i for i in range(3000) if i % 3 == 0} | {17}
 
 
 def test_empty_table(spark):
