@@ -32,3 +32,15 @@ def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, sal
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = groups.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def salted_many(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, salt_by: str) -> tuple[DataFrame, DataFrame]:
+    """left and right with ``_salt``, to be joined on key and _salt where a key may have many rows on both sides.
+
+    hot has the keys to split, HOT_KEYS at most. The left rows of such a key go to SALTS tasks by the hash of salt_by, its right
+    rows to each of them, so every pair meets once and no task holds a whole hot key. Keys are never null.
+    """
+    marked = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
+    one = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(marked, key, "left").withColumn("_salt", one).drop("_hot"), right.join(marked, key, "left").withColumn("_salt", F.explode(each)).drop("_hot")

@@ -1,11 +1,14 @@
 """Problem 6: evaluation records that also occur, exactly or almost, in the training split.
 
-Method: similarity-hash bit fingerprints. Each distinct text gets a 256-bit code: every occurrence of a character (the
-first of it, the second, ...) has one vote on each bit. Codes are cut into permuted blocks; train and evaluation texts that
-agree in a block and differ in no more than ``radius`` bits are candidates, whose texts are then compared by edit distance.
-Single characters are the features because an edit spoils one of them but n of the n-grams. Votes are equal, so an edit
-costs the same whether its character is rare, common or repeated: two records within ``share`` have a cosine of at least
-1 - share, and their codes differ in about acos(1 - share) / pi of the bits (40 of 256) at most, whatever was edited.
+Method: similarity-hash bit fingerprints. Each distinct record gets min-wise hashes of its pairs of neighbouring characters,
+numbered by occurrence: 128 of them give one bit each, which is the fingerprint, and the first 60 give eight bits each, three of
+which form a block of 24 bits. Train and evaluation records that agree in one of the 20 blocks and differ in no more than
+``radius`` bits of the fingerprint are candidates, whose texts are then compared by edit distance.
+
+The number of blocks is the same at every size. A pair that agrees in a share j of its features agrees in a block with
+probability j^3 (0.25 for an edit of 12 % of the characters, scattered, which leaves j = 0.63; 0.00025 for unrelated records
+of the test tables), and in none of 20 with probability (1 - j^3)^20, 0.003 for the farthest pairs. Records of a family, which share most
+blocks, meet in hot blocks; those are split over many tasks and their pairs leave by the fingerprint, within the join.
 
 Defined cases: question and options are taken together; blanks, letter case, punctuation, the form of characters, the
 order and the letters of options and empty options do not count. Two records overlap if the edits that turn one question
@@ -18,7 +21,6 @@ Equal texts are one class: only classes are compared, so copies cost nothing unt
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,57 +29,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from examloom.llm._common import HOT_KEYS, salted_many
 from examloom.llm.lookalike import _Table, fold
 from examloom.session import materialize
 
-BITS = 256
-FEATURES = 1 << 14
+#: Bits of the fingerprint, blocks, and min-wise hashes of eight bits in a block.
+BITS, BLOCKS, LANES = 128, 20, 3
 SHARE = 0.12
-#: Bits differ with this probability in the farthest pairs that overlap, of which so few are missed by all blocks.
-PLANNED, MISSED = math.acos(1 - SHARE) / math.pi, 1e-3
-#: Four standard deviations beyond the mean of the farthest pairs: 5 in 100,000 of them lie outside.
-RADIUS = 64
+#: The farthest pairs that overlap, with all edits apart from each other, have this share of features in common.
+FARTHEST = (1 - SHARE) ** 2 / (2 - (1 - SHARE) ** 2)
+#: Five standard deviations beyond the number of bits in which these pairs differ on average.
+RADIUS = round(BITS * (1 - FARTHEST) / 2 + 5 * math.sqrt(BITS * (1 - FARTHEST) / 2 * (1 + FARTHEST) / 2))
+#: Records whose features are hashed at once, which bounds the memory of a worker by the texts themselves.
+CHUNK_CHARS = 40_000
+#: A block row in so many is looked at to find hot blocks, and one seen this often is split. Neither changes the result.
+SEEN_OF, SEEN = 32, 40
 
 #: Block rows that one task of the join sorts in memory.
 ROWS_A_TASK = 2_000_000
 
 
-def plan_blocks(n: int) -> tuple[int, int]:
-    """(bits of a block, number of blocks) for n texts.
-
-    A block has about log2(n) bits, so that a text meets a constant number of unrelated ones in it at every size; the
-    number of blocks follows from the share of the farthest pairs that may be missed. Their differing bits are binomial, and
-    most of the missed ones are those that differ in more bits than the mean.
-    """
-    bits = max(16, round(math.log2(max(n, 2))))
-    enough = 1
-    while missed(bits, enough) > MISSED:
-        enough *= 2
-    return bits, bisect_left(range(enough), -MISSED, key=lambda blocks: -missed(bits, blocks))
-
-
-def missed(bits: int, blocks: int) -> float:
-    """Share of the farthest overlapping pairs that agree in none of the blocks."""
-    total = 0.0
-    for d in range(BITS + 1):
-        differ = math.comb(BITS, d) * PLANNED**d * (1 - PLANNED) ** (BITS - d)
-        total += differ * (1 - math.comb(BITS - d, bits) / math.comb(BITS, bits)) ** blocks
-    return total
+def missed(j: float, blocks: int = BLOCKS) -> float:
+    """Share of the pairs with j of their features in common that agree in none of the blocks."""
+    return (1 - j**LANES) ** blocks
 
 
 @lru_cache(maxsize=1)
-def _signs() -> np.ndarray:
-    return np.random.default_rng(20240601).integers(0, 2, (FEATURES, BITS)).astype(np.float32) * 2 - 1
-
-
-@lru_cache(maxsize=4)
-def _blocks(bits: int, blocks: int) -> np.ndarray:
-    """Bit numbers of each block: slices of random permutations of the code."""
-    rng, out = np.random.default_rng(7), []
-    while len(out) < blocks:
-        p = rng.permutation(BITS)
-        out += [p[i : i + bits] for i in range(0, BITS - bits + 1, bits)]
-    return np.array(out[:blocks])
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240601)
+    return rng.integers(1, 1 << 32, BITS, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, BITS, dtype=np.uint32)
 
 
 _VISIBLE = _Table(lambda c: c if c.isalnum() else "")
@@ -88,13 +68,42 @@ def plain(text: str | None) -> str:
     return (fold(text) or "").lower().translate(_VISIBLE)
 
 
-def _features(parts: list[str]) -> np.ndarray:
-    """Numbers of the characters of the parts, another one for each occurrence of a character."""
-    c = np.sort(np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32)).astype(np.uint64)
-    nth = np.arange(len(c), dtype=np.uint64) - np.searchsorted(c, c).astype(np.uint64)
-    c = (c ^ nth * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
-    c ^= c >> np.uint64(29)
-    return (c * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(50)).astype(np.int64)
+def _features(records: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the features of all records, where each record starts), for records that show something.
+
+    A feature is a character and the one before it in its part, or the part's begin; the first such pair, the second one
+    and so on of a record differ.
+    """
+    chars = np.frombuffer("".join("\0" + "\0".join(r) for r in records).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.array([sum(map(len, r)) + len(r) for r in records])
+    owner = np.repeat(np.arange(len(records), dtype=np.uint64), sizes)
+    pair = np.concatenate([[np.uint64(0)], chars[:-1] << np.uint64(21)]) | chars
+    keep = chars != 0
+    owner, pair = owner[keep], pair[keep]
+    order = np.lexsort((pair, owner))
+    owner, pair = owner[order], pair[order]
+    fresh = np.concatenate([[True], (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])])
+    at = np.arange(len(pair), dtype=np.uint64)
+    nth = at - np.maximum.accumulate(np.where(fresh, at, np.uint64(0)))
+    x = (pair ^ nth * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    return (x >> np.uint64(32)).astype(np.uint32), starts
+
+
+def fingerprints(records: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(words of the fingerprints, keys of the blocks) of records that show something."""
+    x, starts = _features(records)
+    times, plus = _factors()
+    least = np.minimum.reduceat(x[:, None] * times + plus, starts, axis=0)
+    least *= np.uint32(0x9E3779B1)  # the low bits of a product are poor, its high ones are not
+    words = np.packbits((least >> np.uint32(31)).astype(bool), axis=1, bitorder="little").view("<i8")
+    lanes = ((least[:, : BLOCKS * LANES] >> np.uint32(23)) & np.uint32(255)).astype(np.int32).reshape(len(records), BLOCKS, LANES)
+    keys = np.arange(BLOCKS, dtype=np.int32)
+    for i in range(LANES):
+        keys = keys << 8 | lanes[:, :, i]
+    return words, keys
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -201,48 +210,41 @@ def prepared(rows: DataFrame, key: str, split: str, question: str, options: str)
 
 
 def coded(classes: DataFrame) -> DataFrame:
-    """(c, train, eval, size, w0..w3) of every class that has visible text."""
+    """(c, train, eval, w0, w1, blocks) of every class that has visible text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signs = _signs()
         for b in batches:
-            keep, codes, sizes = [], [], []
-            for i, (q, o) in enumerate(zip(b.column("q").to_pylist(), b.column("o").to_pylist(), strict=True)):
-                f = _features([q, *o])
-                if len(f):
-                    sizes.append(len(f))
-                    f, times = np.unique(f, return_counts=True)
-                    keep.append(i)
-                    codes.append(times.astype(np.float32) @ signs[f] > 0)
-            words = np.packbits(np.array(codes, dtype=bool).reshape(-1, BITS), axis=1, bitorder="little").view("<i8")
-            own = b.take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_arrays([own.column("c"), own.column("train"), own.column("eval"), pa.array(sizes, pa.int32()), *[pa.array(np.ascontiguousarray(words[:, j])) for j in range(4)]], names=["c", "train", "eval", "size", "w0", "w1", "w2", "w3"])
-
-    return classes.select("c", "train", "eval", "q", "o").mapInArrow(run, f"c {classes.schema['c'].dataType.simpleString()}, train boolean, eval boolean, size int, w0 long, w1 long, w2 long, w3 long")
-
-
-def blocked(codes: DataFrame, size: int, number: int) -> DataFrame:
-    """(c, size, w0..w3, k): a row for each block of each code."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pick = np.zeros((BITS, number))
-        pick[_blocks(size, number).T, np.arange(number)] = 2.0 ** np.arange(size)[:, None]
-        for whole in batches:
-            for at in range(0, whole.num_rows, step := max(1, (1 << 20) // number)):  # so many rows that their blocks take 8 MB
-                b = whole.slice(at, step)
-                words = np.stack([b.column(f"w{j}").to_numpy() for j in range(4)], axis=1)
-                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
-                keys = (bits.astype(np.float64) @ pick).astype(np.int64) + (np.arange(number, dtype=np.int64) << size)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, number), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns, flat], names=[*b.schema.names, "blocks"])
-
-    own = codes.select("c", "size", "w0", "w1", "w2", "w3")
-    return own.mapInArrow(run, f"c {codes.schema['c'].dataType.simpleString()}, size int, w0 long, w1 long, w2 long, w3 long, blocks array<long>").select(*own.columns, F.explode("blocks").alias("k"))
+            records = [[p for p in (q, *o) if p] for q, o in zip(b.column("q").to_pylist(), b.column("o").to_pylist(), strict=True)]
+            chunk: list[int] = []
+            size = 0
+            for i, r in enumerate(records):
+                if r:
+                    chunk.append(i)
+                    size += sum(map(len, r))
+                if chunk and (size > CHUNK_CHARS or i == len(records) - 1):
+                    yield _batch(b, chunk, [records[k] for k in chunk])
+                    chunk, size = [], 0
+            if chunk:
+                yield _batch(b, chunk, [records[k] for k in chunk])
+
+    def _batch(b: pa.RecordBatch, at: list[int], records: list[list[str]]) -> pa.RecordBatch:
+        words, keys = fingerprints(records)
+        own = b.take(pa.array(at, pa.int32()))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BLOCKS), pa.int32()), pa.array(keys.ravel()))
+        return pa.RecordBatch.from_arrays([own.column("c"), own.column("train"), own.column("eval"), *[pa.array(np.ascontiguousarray(words[:, j])) for j in range(2)], flat], names=["c", "train", "eval", "w0", "w1", "blocks"])
+
+    return classes.select("c", "train", "eval", "q", "o").mapInArrow(run, f"c {classes.schema['c'].dataType.simpleString()}, train boolean, eval boolean, w0 long, w1 long, blocks array<int>")
+
+
+def hot_blocks(codes: DataFrame) -> DataFrame:
+    """(k) of blocks with very many rows, HOT_KEYS at most, seen in a fixed part of the rows."""
+    seen = codes.filter(F.pmod(F.xxhash64("c", F.lit(5)), F.lit(SEEN_OF)) == 0).select(F.explode("blocks").alias("k"))
+    return seen.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") >= SEEN).orderBy(F.col("n").desc(), "k").limit(HOT_KEYS).select("k")
 
 
 def _far(a: str, b: str) -> Column:
     total = F.lit(0)
-    for j in range(4):
+    for j in range(2):
         total = total + F.bit_count(F.col(f"{a}.w{j}").bitwiseXOR(F.col(f"{b}.w{j}")))
     return total
 
@@ -253,15 +255,12 @@ def overlapping_classes(rows: DataFrame, key: str = "row_id", split: str = "spli
     classes = base.groupBy("h").agg(F.min("key").alias("c"), F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"), F.first("q").alias("q"), F.first("o").alias("o"))
     classes = materialize(classes, "classes")
     codes = materialize(coded(classes), "codes")
-    n = codes.count()
-    size, number = plan_blocks(n)
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * number // ROWS_A_TASK)
-    a = blocked(codes.filter("train"), size, number).repartition(parts, "k").alias("a")
-    b = blocked(codes.filter("eval"), size, number).repartition(parts, "k").alias("b")
-    # texts whose lengths differ by more than the edits allowed need no comparison
-    sized = F.abs(F.col("a.size") - F.col("b.size")) <= share * F.greatest("a.size", "b.size")
-    near = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.c") != F.col("b.c")) & sized & (_far("a", "b") <= radius))
-    pairs = materialize(near.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct(), "candidates")
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), codes.count() * BLOCKS // ROWS_A_TASK)
+    side = lambda c: codes.filter(c).select("c", "w0", "w1", F.explode("blocks").alias("k"))
+    a, b = salted_many(side("train"), side("eval"), "k", materialize(hot_blocks(codes), "hot"), "c")
+    a, b = (d.repartition(parts, "k", "_salt") for d in (a, b))
+    met = a.alias("a").join(b.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a._salt") == F.col("b._salt")) & (F.col("a.c") != F.col("b.c")) & (_far("a", "b") <= radius))
+    pairs = materialize(met.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct(), "candidates")
     text = lambda x: classes.select(F.col("c").alias(x), F.col("q").alias("q" + x), F.col("o").alias("o" + x))
     both = pairs.join(text("a"), "a").join(text("b"), "b")
 
@@ -280,16 +279,35 @@ def overlapping_classes(rows: DataFrame, key: str = "row_id", split: str = "spli
 def overlap_pairs(rows: DataFrame, key: str = "row_id", **names) -> DataFrame:
     """(train_key, eval_key) of all rows that overlap across the splits."""
     members, links = overlapping_classes(rows, key, **names)
-    members = materialize(members, "members")
+    members = materialize(members.distinct(), "members")
     left = members.filter("train").select(F.col("c").alias("a"), F.col("key").alias("train_key"))
     right = members.filter("not train").select(F.col("c").alias("b"), F.col("key").alias("eval_key"))
     return links.join(left, "a").join(right, "b").select("train_key", "eval_key").filter("train_key != eval_key").distinct()
 
 
+def overlap_classes(rows: DataFrame, key: str = "row_id", **names) -> DataFrame:
+    """(key, train, class, n_links) of every row that takes part: its class of equal texts, and with how many classes of the
+    other splits that one overlaps, its own included if it stands in both."""
+    members, links = overlapping_classes(rows, key, **names)
+    links = materialize(links, "links")
+    ends = links.select(F.col("a").alias("c"), F.lit(True).alias("train")).union(links.select(F.col("b").alias("c"), F.lit(False).alias("train")))
+    n = ends.groupBy("c", "train").agg(F.count("*").alias("n_links"))
+    return members.join(n, ["c", "train"], "left").select(F.col("key").alias(key), "train", F.col("c").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def overlap_report(rows: DataFrame, key: str = "row_id", split: str = "split", source: str = "source", **names) -> DataFrame:
-    """By evaluation split and source: rows, rows that overlap with training rows, and pairs. Null sources are a group."""
-    pairs = overlap_pairs(rows, key, split=split, **names)
-    per_row = pairs.groupBy(F.col("eval_key").alias("key")).agg(F.count("*").alias("n"))
-    own = rows.filter(F.col(split).isin("val", "test")).select(F.col(key).alias("key"), F.col(split).alias("split"), F.col(source).alias("source"))
-    g = own.join(per_row, "key", "left").groupBy("split", "source")
+    """By evaluation split and source: rows, rows that overlap with training rows, and pairs. Null sources are a group.
+
+    Pairs are counted from links between classes and the numbers of their rows; no pair of rows is written out.
+    """
+    members, links = overlapping_classes(rows, key, split=split, **names)
+    members, links = materialize(members.distinct(), "members"), materialize(links, "links")
+    train = members.filter("train").groupBy(F.col("c").alias("a")).agg(F.count("*").alias("k"))
+    n = links.join(train, "a").groupBy(F.col("b").alias("c")).agg(F.sum("k").alias("n"))
+    # a row under one id in train and in evaluation is no pair with itself
+    twice = members.filter("train").select("key", F.col("c").alias("a")).join(members.filter("not train").select("key", F.col("c").alias("b")), "key")
+    own = twice.join(links, ["a", "b"]).groupBy("key", F.col("b").alias("c")).agg(F.count("*").alias("own"))
+    per_row = members.filter("not train").join(n, "c").join(own, ["key", "c"], "left").select("key", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n")).filter("n > 0").groupBy("key").agg(F.sum("n").alias("n"))
+    mine = rows.filter(F.col(split).isin("val", "test")).select(F.col(key).alias("key"), F.col(split).alias("split"), F.col(source).alias("source"))
+    g = mine.join(per_row, "key", "left").groupBy("split", "source")
     return g.agg(F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))

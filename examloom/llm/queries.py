@@ -85,6 +85,10 @@ def p6_report(spark, d):
     return overlap.overlap_report(_t(spark, d, "build_cmb_train_sft"))
 
 
+def p6_classes(spark, d):
+    return overlap.overlap_classes(_t(spark, d, "build_cmb_train_sft"))
+
+
 def p7_ids(spark, d):
     return bpe.encode_texts(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -111,7 +115,7 @@ def p9_found(spark, d):
 
 _ALL = [
     p1_found, p1_sample, p1_report, p2_found, p2_records, p3_found, p3_questions, p3_answers, p4_found, p4_splits, p4_split_shares,
-    p5_sample, p5_list, p6_found, p6_report, p7_ids, p8_found, p8_report, p8_mixture, p9_found, p9_kinds,
+    p5_sample, p5_list, p6_found, p6_report, p6_classes, p7_ids, p8_found, p8_report, p8_mixture, p9_found, p9_kinds,
 ]
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from examloom.llm import overlap
 from examloom.llm.overlap import alike, distance, overlap_pairs, overlap_report, plain
 
@@ -96,12 +98,6 @@ def test_nulls_empties_and_nothing(spark):
     assert [(r.train_key, r.eval_key) for r in got] == [(1, 2)]
 
 
-def test_blocks_follow_the_number_of_texts():
-    for n, bits, least in ((0, 16, 50), (200_000, 18, 70), (10**9, 30, 400)):
-        size, number = overlap.plan_blocks(n)
-        assert size == bits and number >= least and overlap._blocks(size, number).shape == (number, size)
-
-
 def _edited_pairs(rng):
     """Records with all the edits that are allowed, spent on a repeated name, on one character and on the rarest characters."""
     common = [chr(0x4E00 + i) for i in range(60)]
@@ -128,5 +124,46 @@ def test_edits_of_any_kind_are_found(spark):
 
 
 def test_blocks_miss_few_of_the_farthest_pairs():
-    for n in (0, 200_000, 10**9):
-        assert overlap.missed(*overlap.plan_blocks(n)) <= overlap.MISSED
+    assert overlap.missed(overlap.FARTHEST) < 0.004 and overlap.missed(0.68) < 0.001
+    rng = random.Random(9)
+    far, hit = [], 0
+    for _ in range(600):
+        t = _text(rng, 130)
+        at = set(rng.sample(range(130), 15))
+        words, keys = overlap.fingerprints([[t], ["".join(chr(0x7000 + rng.randrange(999)) if i in at else c for i, c in enumerate(t))]])
+        far.append(int(np.unpackbits((words[0] ^ words[1]).view(np.uint8)).sum()))
+        hit += bool((keys[0] == keys[1]).any())
+    assert hit >= 594 and max(far) <= overlap.RADIUS and 18 <= sum(far) / 600 <= 30
+
+
+def test_unrelated_records_rarely_meet():
+    rng = random.Random(10)
+    _, keys = overlap.fingerprints([[_text(rng, 90), _text(rng, 8)] for _ in range(400)])
+    assert sum((keys[i] == keys[j]).any() for i in range(400) for j in range(i)) < 40
+
+
+def test_a_family_of_a_third_of_all_rows(spark, monkeypatch):
+    """One template with another name in each row: its blocks are hot, split over tasks, and no pair is lost."""
+    monkeypatch.setattr(overlap, "SEEN", 3)
+    rng = random.Random(11)
+    frame = _text(rng, 60)
+    rows = []
+    for i in range(900):
+        q = frame[:30] + _text(rng, 30) + frame[30:] if i % 3 == 0 else _text(rng, 100)
+        rows.append((i, "train", q, ["甲", "乙丙"]))
+        if i % 9 == 0:
+            rows.append((5000 + i, "test", q[:-1] + "末", ["乙丙", "甲"]))
+    got = {(r.train_key, r.eval_key) for r in overlap_pairs(_df(spark, rows)).collect()}
+    assert got == {(i, 5000 + i) for i in range(0, 900, 9)}
+    codes = overlap.coded(overlap.prepared(_df(spark, rows), "row_id", "split", "question", "options").selectExpr("key as c", "train", "not train as eval", "q", "o"))
+    assert overlap.hot_blocks(codes).count() > 0
+
+
+def test_classes_and_report_from_links(spark):
+    q = "患者反复胸闷气促三年加重两天入院后心电图提示心房颤动"
+    rows = [(i, "train", q, ["甲", "乙"]) for i in range(40)] + [(100 + i, "val", q + "。", ["乙", "甲"]) for i in range(30)] + [(7, "test", q, ["甲", "乙"]), (200, "test", _text(random.Random(1), 40), ["甲"])]
+    df = _df(spark, rows)
+    got = {(r.row_id, r.train): (r["class"], r.n_links) for r in overlap.overlap_classes(df).collect()}
+    assert len(got) == 72 and got[(3, True)] == got[(101, False)] == (0, 1) and got[(200, False)] == (200, 0)
+    report = {(r.split, r.source): (r.n_rows, r.n_overlapping, r.n_pairs) for r in overlap_report(df).collect()}
+    assert report == {("val", None): (15, 15, 600), ("val", "src"): (15, 15, 600), ("test", None): (1, 0, 0), ("test", "src"): (1, 1, 39)}
