@@ -68,6 +68,12 @@ def p3_found(spark, d):
     return q.union(a)
 
 
+def p3_classes(spark, d):
+    q = lookalike.same_looking_classes(_t(spark, d, "build_cmb_train_sft"), "row_id", "question").select(F.lit("question").alias("field"), F.col("row_id").alias("key"), "class", "stored", "n_stored")
+    a = lookalike.same_looking_classes(_t(spark, d, "score_cmb"), "score_id", "answer", "id").select(F.lit("answer").alias("field"), F.col("score_id").alias("key"), "class", "stored", "n_stored")
+    return q.union(a)
+
+
 def p3_questions(spark, d):
     return lookalike.canonical_text(_t(spark, d, "build_cmb_train_sft"), "row_id", "question").select(F.col("key").alias("row_id"), F.col("canonical").alias("question"))
 
@@ -114,7 +120,7 @@ def p9_found(spark, d):
 
 
 _ALL = [
-    p1_found, p1_sample, p1_report, p2_found, p2_records, p3_found, p3_questions, p3_answers, p4_found, p4_splits, p4_split_shares,
+    p1_found, p1_sample, p1_report, p2_found, p2_records, p3_found, p3_classes, p3_questions, p3_answers, p4_found, p4_splits, p4_split_shares,
     p5_sample, p5_list, p6_found, p6_report, p6_classes, p7_ids, p8_found, p8_report, p8_mixture, p9_found, p9_kinds,
 ]
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from examloom.llm.lookalike import LOOK_ALIKE_FROM, LOOK_ALIKE_TO, Trie, canonical_text, fold, is_spelling, same_looking_pairs
+from examloom.llm.lookalike import LOOK_ALIKE_FROM, LOOK_ALIKE_TO, Trie, canonical_text, fold, is_mixed, is_spelling, same_looking_classes, same_looking_pairs, shelf_of, spellings
 
 SAME = [
     ("TOM-7水平", "ТОМ‑7水平"), ("Ménotte征", "Ménotte征"), ("体温37.2", "体温３７．２"), ("用见", "⽤⻅"), ("a b", "a　b"), ("a b", "a b"),
@@ -31,12 +31,22 @@ def test_fold_is_idempotent_and_total():
 
 def test_trie_costs_nothing_for_looks_only():
     t = Trie()
-    for w, n in (("TOM-7", 5), ("Ménotte", 3), ("боль", 9)):
-        t.add(w, n)
-    assert t.match("Т​ОМ‐7") == ("TOM-7", 0) and t.match("Ｍénotte") == ("Ménotte", 0) and t.match("бoль") == ("боль", 0)
-    assert t.match("TON-7") is None and t.match("TON-7", 1) == ("TOM-7", 1) and t.match("TO-7", 1) == ("TOM-7", 1) and t.match("TOMM-7", 1) == ("TOM-7", 1)
-    assert t.match("XXX-7", 2) is None
-    assert is_spelling("боль", 2, 2) and not is_spelling("боль", 1, 2) and not is_spelling("сор", 9, 2) and is_spelling("TOM", 1, 2)
+    for w in ("TOM-7", "Ménotte", "боль", "cell", "ЗАО"):
+        t.add(w)
+    assert t.match("Т​ОМ‐7") == ("TOM-7", 0) and t.match("Ｍénotte") == ("Ménotte", 0) and t.match("бoль") == ("боль", 0)
+    assert t.match("ceӀӀ") == ("cell", 2) and t.match("сеⅼⅼ") == ("cell", 0) and t.match("сеӀӀ", 1) is None and t.match("ceII") is None
+    assert t.match("TON-7") is None and t.match("TON-7", 3) == ("TOM-7", 3) and t.match("TO-7", 3) == ("TOM-7", 3) and t.match("TOMM-7", 3) == ("TOM-7", 3)
+    assert t.match("XXX-7", 6) is None
+    assert is_spelling("боль") and not is_spelling("сор") and is_spelling("TOM") and not is_mixed("TGF-β1") and is_mixed("бoль")
+
+
+def test_vocabulary_decides_what_the_table_cannot():
+    assert spellings(["cell", "ceӀӀ", "сеӀl"]) == {"ceӀӀ": "cell", "сеӀl": "cell"}
+    assert spellings(["ceӀӀ"]) == {} and fold("ceӀӀ") == "ceII"
+    assert spellings(["30mg", "З0mg"]) == {"З0mg": "30mg"} and spellings(["ЗАО"]) == {"ЗАО": "ЗАО"}
+    assert spellings(["TGF-β1", "TGF-ß1"]) in ({"TGF-ß1": "TGF-β1"}, {"TGF-β1": "TGF-ß1"})
+    for a, b in (("cell", "ceӀӀ"), ("30mg", "З0mg"), ("βx", "ßx"), ("Il", "ӀӀ")):
+        assert shelf_of(a) == shelf_of(b)
 
 
 def _df(spark, texts):
@@ -64,3 +74,20 @@ def test_pairs_within_and_empty(spark):
     df = spark.createDataFrame([(1, "a", "q1"), (2, "а", "q1"), (3, "а", "q2"), (4, "a", None), (5, "а", None)], "k long, t string, g string")
     assert [(r.key_a, r.key_b) for r in same_looking_pairs(df, "k", "t", "g").collect()] == [(1, 2)]
     assert same_looking_pairs(df.filter("false"), "k", "t").count() == 0
+
+
+def test_pair_that_the_table_alone_misses(spark):
+    texts = ["one cell here", "one ceӀӀ here", "one ce11", "30mg", "З0mg", "cell"]
+    assert fold(texts[0]) != fold(texts[1]) and fold(texts[3]) != fold(texts[4])
+    got = {(r.key_a, r.key_b) for r in same_looking_pairs(_df(spark, texts), "k", "t").collect()}
+    assert got == {(0, 1), (3, 4)}
+
+
+def test_classes_and_a_hot_text(spark):
+    texts = ["甲乙 TOM"] * 1500 + ["甲乙　TOM", "甲乙 ТОМ", "丙", "丙​", "丁", None, ""]
+    df = _df(spark, texts)
+    got = {r.k: (r["class"], r.stored, r.n_stored) for r in same_looking_classes(df, "k", "t").collect()}
+    assert got == {i: (0, 0, 3) for i in range(1500)} | {1500: (0, 1500, 3), 1501: (0, 1501, 3), 1502: (1502, 1502, 2), 1503: (1502, 1503, 2)}
+    pairs = {(r.key_a, r.key_b) for r in same_looking_pairs(df, "k", "t").collect()}
+    assert pairs == {(i, j) for i in range(1500) for j in (1500, 1501)} | {(1500, 1501), (1502, 1503)}
+    assert same_looking_classes(df.filter("false"), "k", "t").count() == 0
