@@ -18,7 +18,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +30,11 @@ CACHE_PIECES = 200_000
 CACHE_PIECE_CHARS = 64
 
 
+_SHIPPED: set[tuple[str, str]] = set()
+
+
 def default_vocabulary() -> str:
-    """Where this machine keeps the vocabulary file; a parameter of every operator."""
+    """Where the driver keeps the vocabulary file; a parameter of every operator. Executors get it from the driver."""
     return os.environ.get("EXAMLOOM_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 
 
@@ -149,15 +153,29 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def ship(spark: SparkSession, path: str) -> None:
+    """Send the vocabulary file to the executors, once an application; no executor needs a copy of its own."""
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _SHIPPED:
+        spark.sparkContext.addFile(path)
+        _SHIPPED.add(known)
+
+
+def arrived(path: str) -> str:
+    """Where a worker finds a file that was shipped to it."""
+    return SparkFiles.get(os.path.basename(path))
+
+
 def encode_texts(docs: DataFrame, text: str = "text", out: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """docs with the token ids of a text column. One pass without a shuffle; columns besides the text go through untouched."""
     path = vocabulary or default_vocabulary()
+    ship(docs.sparkSession, path)
     keep = [f for f in docs.schema.fields if f.name != out]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(arrived(path))
         for b in batches:
             ids = pa.array([enc.encode(t) for t in b.column(text).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], ids], names=[*names, out])
@@ -168,12 +186,13 @@ def encode_texts(docs: DataFrame, text: str = "text", out: str = "ids", vocabula
 def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", vocabulary: str | None = None) -> DataFrame:
     """docs without the text but with its number of tokens (0 for null and empty); ids never leave the worker."""
     path = vocabulary or default_vocabulary()
+    ship(docs.sparkSession, path)
     keep = [f for f in docs.schema.fields if f.name not in (text, out)]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField(out, T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(arrived(path))
         for b in batches:
             n = pa.array([len(enc.encode(t)) for t in b.column(text).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], n], names=[*names, out])

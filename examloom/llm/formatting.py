@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from examloom.llm._common import hot_keys
+from examloom.llm._common import hot_keys, salted_join
 from examloom.session import materialize
 
 #: Width forms and look-alikes of the marks that may carry a value, and what they stand for.
@@ -67,19 +67,20 @@ def formatting_members(rows: DataFrame, key: str = "row_id", question: str = "qu
     """(first, id) of every row whose fields another row has too, apart from formatting; first is the smallest such id.
 
     Texts move once, to their fingerprint's partition, where each row is compared with the first one of its group. The
-    groups with the most copies (a thousand at most, see hot_keys) do not move: their first rows are broadcast instead.
+    rows of the groups with the most copies (a thousand at most, see hot_keys) are spread over many tasks, to each of which
+    the group's first row is sent; only fingerprints are broadcast.
     """
     base = materialize(fingerprints(rows, key, question, options, text), "fingerprints")
     pair = ["f1", "f2"]
     groups = base.groupBy(*pair).agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    hot = hot_keys(groups, pair, "n")
-    hot = materialize(groups.join(F.broadcast(hot), pair, "left_semi").select(*pair, "first"), "hot")
-    large = base.join(F.broadcast(hot), pair)
-    heads = large.filter("id = first").groupBy(*pair).agg(F.first("q").alias("hq"), F.first("o").alias("ho"))
-    large = large.join(F.broadcast(heads), pair)
+    hot = materialize(hot_keys(groups, pair, "n"), "hot")
+    large = base.join(F.broadcast(hot), pair, "left_semi")
+    heads = groups.join(F.broadcast(hot), pair, "left_semi").join(large.select("id", F.col("q").alias("hq"), F.col("o").alias("ho"), *[F.col(c).alias("_" + c) for c in pair]), (F.col("id") == F.col("first")) & (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")))
+    heads = heads.groupBy(*pair, "first", "n").agg(F.first("hq").alias("hq"), F.first("ho").alias("ho"))
+    large = salted_join(large, heads, pair, "n", F.col("id"))
     group = Window.partitionBy(*pair)
     upto = group.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    small = base.join(F.broadcast(hot.select(*pair)), pair, "left_anti").withColumn("n", F.count("*").over(group))
+    small = base.join(F.broadcast(hot), pair, "left_anti").withColumn("n", F.count("*").over(group))
     for new, old in (("first", "id"), ("hq", "q"), ("ho", "o")):
         small = small.withColumn(new, F.first(old).over(upto))
     small = small.filter("n > 1")

@@ -6,14 +6,15 @@ one more with the probability of the fraction, drawn from a hash of seed and tex
 Defined cases: the size of the mixture is the number of tokens of all documents, whatever their source. A text that
 several documents share is used as one text (its smallest id), so that no text is used more often than ``max_repeats``;
 if several mixed sources hold it, a hash gives it to one of them. Rates are capped at ``max_repeats``; what a capped source
-lacks is reported, not given to others. Null, empty and blank texts without tokens are never emitted, documents of null or
+lacks is reported, not given to others: ``cannot_fill`` if all its documents used as often as allowed are too few,
+``short_of_texts`` if its different texts are, ``deficit`` in tokens. Null, empty and blank texts without tokens are never emitted, documents of null or
 unlisted sources neither. Null shares and caps count as 0. Repeated rows of a document count once for the emission, but
 as documents in the sums. Empty tables give an empty mixture.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from examloom.llm._common import unit_hash
@@ -51,8 +52,10 @@ def mix_sources(
 
     want = F.col("share") * F.lit(float(total))
     rates = t.join(hint(by_doc), "source", "left").join(hint(by_text), "source", "left").fillna(0, ["source_tokens", "n_docs", "text_tokens"])
-    rate = F.when(F.col("text_tokens") > 0, F.least(want / F.col("text_tokens"), F.col("cap").cast("double"))).otherwise(F.lit(0.0))
-    rates = materialize(rates.withColumn("want", want).withColumn("rate", rate), "rates")
+    # how often the documents and the different texts of a source must be used to fill its target; null without tokens
+    rates = rates.withColumn("want", want).withColumn("doc_rate", F.col("want") / F.nullif("source_tokens", F.lit(0))).withColumn("text_rate", F.col("want") / F.nullif("text_tokens", F.lit(0)))
+    rate = F.coalesce(F.least("text_rate", F.col("cap").cast("double")), F.lit(0.0))
+    rates = materialize(rates.withColumn("rate", rate), "rates")
 
     base = F.floor("rate")
     extra = F.when(unit_hash(F.lit(seed), F.lit("copy"), "same") < F.col("rate") - base, 1).otherwise(0)
@@ -64,13 +67,18 @@ def mix_sources(
     everything = F.sum("mixed_tokens").over(Window.partitionBy())
     report = report.select(
         F.col("source").alias(source), F.col("share").alias(share), F.col("cap").cast("int").alias(repeats), "n_docs", "source_tokens", "text_tokens",
-        F.col("want").alias("wanted_tokens"), "rate", "mixed_tokens", "most_copies",
+        F.col("want").alias("wanted_tokens"), "doc_rate", "text_rate", "rate", "mixed_tokens", "most_copies",
         (F.col("mixed_tokens") / F.nullif(everything, F.lit(0))).alias("actual_share"),
-        (F.col("cap") * F.col("source_tokens") < F.col("want")).alias("cannot_fill"),
+        F.greatest(F.col("want") - F.col("mixed_tokens"), F.lit(0.0)).alias("deficit"), _short("doc_rate").alias("cannot_fill"), _short("text_rate").alias("short_of_texts"),
     )
     return mixture, report
 
 
+def _short(rate: str) -> Column:
+    """Whether a target asks for more repetitions than are allowed, or for tokens where there are none."""
+    return F.when(F.col(rate).isNull(), F.col("want") > 0).otherwise(F.col(rate) > F.col("cap"))
+
+
 def emit_copies(docs: DataFrame, mixture: DataFrame, doc: str = "doc_id") -> DataFrame:
     """The mixture written out: each used document as many times as it has copies, with its copy number."""
     used = docs.join(mixture.select(doc, "copies"), doc).dropDuplicates([doc])

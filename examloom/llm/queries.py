@@ -111,6 +111,11 @@ def p8_mixture(spark, d):
     return mixing.mix_sources(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[0]
 
 
+def p8_copies(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "source")
+    return mixing.emit_copies(docs, p8_mixture(spark, d)).select("doc_id", "source", "copy")
+
+
 def p9_kinds(spark, d):
     return residue.residue_documents(_t(spark, d, "documents"))
 
@@ -121,7 +126,7 @@ def p9_found(spark, d):
 
 _ALL = [
     p1_found, p1_sample, p1_report, p2_found, p2_records, p3_found, p3_classes, p3_questions, p3_answers, p4_found, p4_splits, p4_split_shares,
-    p5_sample, p5_list, p6_found, p6_report, p6_classes, p7_ids, p8_found, p8_report, p8_mixture, p9_found, p9_kinds,
+    p5_sample, p5_list, p6_found, p6_report, p6_classes, p7_ids, p8_found, p8_report, p8_mixture, p8_copies, p9_found, p9_kinds,
 ]
 
 

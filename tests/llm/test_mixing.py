@@ -31,6 +31,8 @@ def test_rates_caps_and_report(spark):
     assert abs(rep["big"].mixed_tokens - 0.6 * total) < 0.05 * total and abs(rep["small"].mixed_tokens - 0.3 * total) < 0.05 * total
     assert rep["small"].most_copies <= 10 and rep["small"].rate > 1
     assert [s for s in ("big", "small", "tiny", "none", "zero") if rep[s].cannot_fill] == ["tiny", "none"]
+    # the documents of tiny repeat one text: too few documents, and fewer texts still
+    assert {s for s in rep if rep[s].short_of_texts} == {"tiny", "none"} and all(r.deficit == max(0.0, r.wanted_tokens - r.mixed_tokens) for r in rep.values())
     assert abs(sum(r.actual_share for r in rep.values()) - 1) < 1e-9
     again = {r.doc_id: r.copies for r in mix_sources(spark.createDataFrame(docs, DOCS).repartition(9), targets)[0].collect()}
     assert again == {k: r.copies for k, r in rows.items()}
@@ -41,3 +43,11 @@ def test_rates_caps_and_report(spark):
 def test_empty(spark):
     mixture, report = mix_sources(spark.createDataFrame([], DOCS), spark.createDataFrame([("a", 1.0, 2)], TARGETS))
     assert mixture.count() == 0 and report.first().mixed_tokens == 0 and report.first().actual_share is None
+
+
+def test_repeated_texts_are_short_without_their_documents_being(spark):
+    docs = [(i, "the same words again and again", "copies", 1, 1) for i in range(50)] + [(100 + i, f"document number {i} of many words", "own", 1, 1) for i in range(50)]
+    targets = spark.createDataFrame([("copies", 0.5, 2), ("own", 0.5, 2)], TARGETS)
+    rep = {r.source: r for r in mix_sources(spark.createDataFrame(docs, DOCS), targets)[1].collect()}
+    assert not rep["copies"].cannot_fill and rep["copies"].short_of_texts and rep["copies"].deficit > 0 and rep["copies"].most_copies == 2
+    assert not rep["own"].cannot_fill and not rep["own"].short_of_texts
