@@ -21,6 +21,8 @@ Equal texts are one class: only classes are compared, so copies cost nothing unt
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,8 +40,8 @@ BITS, BLOCKS, LANES = 128, 20, 3
 SHARE = 0.12
 #: The farthest pairs that overlap, with all edits apart from each other, have this share of features in common.
 FARTHEST = (1 - SHARE) ** 2 / (2 - (1 - SHARE) ** 2)
-#: Five standard deviations beyond the number of bits in which these pairs differ on average.
-RADIUS = round(BITS * (1 - FARTHEST) / 2 + 5 * math.sqrt(BITS * (1 - FARTHEST) / 2 * (1 + FARTHEST) / 2))
+#: Four standard deviations beyond the number of bits in which these pairs differ on average.
+RADIUS = round(BITS * (1 - FARTHEST) / 2 + 4 * math.sqrt(BITS * (1 - FARTHEST) / 2 * (1 + FARTHEST) / 2))
 #: Records whose features are hashed at once, which bounds the memory of a worker by the texts themselves.
 CHUNK_CHARS = 40_000
 #: A block row in so many is looked at to find hot blocks, and one seen this often is split. Neither changes the result.
@@ -61,11 +63,17 @@ def _factors() -> tuple[np.ndarray, np.ndarray]:
 
 
 _VISIBLE = _Table(lambda c: c if c.isalnum() else "")
+_PLAIN = _Table(lambda c: (fold(c) or "").lower().translate(_VISIBLE))
+_MARKS = re.compile("[\u0300-\u036f\u20d0-\u20ff\ufe20-\ufe2f]")
 
 
 def plain(text: str | None) -> str:
     """Letters and digits only, in one form and case."""
-    return (fold(text) or "").lower().translate(_VISIBLE)
+    if not text:
+        return ""
+    t = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+    # character by character, unless a mark that stands alone may join the letter that its base looks like
+    return (fold(t) or "").lower().translate(_VISIBLE) if _MARKS.search(t) else t.translate(_PLAIN)
 
 
 def _features(records: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,13 +85,12 @@ def _features(records: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     chars = np.frombuffer("".join("\0" + "\0".join(r) for r in records).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     sizes = np.array([sum(map(len, r)) + len(r) for r in records])
     owner = np.repeat(np.arange(len(records), dtype=np.uint64), sizes)
-    pair = np.concatenate([[np.uint64(0)], chars[:-1] << np.uint64(21)]) | chars
-    keep = chars != 0
-    owner, pair = owner[keep], pair[keep]
-    order = np.lexsort((pair, owner))
-    owner, pair = owner[order], pair[order]
-    fresh = np.concatenate([[True], (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])])
-    at = np.arange(len(pair), dtype=np.uint64)
+    # record, character before, character: 22, 21 and 21 bits, so that one sort of numbers puts equal pairs together
+    each = owner << np.uint64(42) | np.concatenate([[np.uint64(0)], chars[:-1] << np.uint64(21)]) | chars
+    each = np.sort(each[chars != 0])
+    pair, owner = each & np.uint64((1 << 42) - 1), each >> np.uint64(42)
+    fresh = np.concatenate([[True], each[1:] != each[:-1]])
+    at = np.arange(len(each), dtype=np.uint64)
     nth = at - np.maximum.accumulate(np.where(fresh, at, np.uint64(0)))
     x = (pair ^ nth * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(29)
@@ -96,7 +103,10 @@ def fingerprints(records: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """(words of the fingerprints, keys of the blocks) of records that show something."""
     x, starts = _features(records)
     times, plus = _factors()
-    least = np.minimum.reduceat(x[:, None] * times + plus, starts, axis=0)
+    least = np.empty((BITS, len(records)), dtype=np.uint32)
+    for j in range(BITS):  # a function at a time, over as many features as fit in a processor's cache
+        least[j] = np.minimum.reduceat(x * times[j] + plus[j], starts)
+    least = np.ascontiguousarray(least.T)
     least *= np.uint32(0x9E3779B1)  # the low bits of a product are poor, its high ones are not
     words = np.packbits((least >> np.uint32(31)).astype(bool), axis=1, bitorder="little").view("<i8")
     lanes = ((least[:, : BLOCKS * LANES] >> np.uint32(23)) & np.uint32(255)).astype(np.int32).reshape(len(records), BLOCKS, LANES)
@@ -206,11 +216,11 @@ def prepared(rows: DataFrame, key: str, split: str, question: str, options: str)
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("train"), pa.array(q, pa.string()), pa.array(o, pa.list_(pa.string()))], names=["key", "train", "q", "o"])
 
     done = base.mapInArrow(run, f"key {rows.schema[key].dataType.simpleString()}, train boolean, q string, o array<string>")
-    return done.withColumn("h", F.sha2(F.concat_ws("|", F.col("q"), F.array_join("o", "|")), 256))
+    return done.withColumn("h", F.unhex(F.substring(F.sha2(F.concat_ws("|", F.col("q"), F.array_join("o", "|")), 256), 1, 40)))
 
 
 def coded(classes: DataFrame) -> DataFrame:
-    """(c, train, eval, w0, w1, blocks) of every class that has visible text."""
+    """(c, train, eval, size, w0, w1, blocks) of every class that has visible text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,9 +241,9 @@ def coded(classes: DataFrame) -> DataFrame:
         words, keys = fingerprints(records)
         own = b.take(pa.array(at, pa.int32()))
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BLOCKS), pa.int32()), pa.array(keys.ravel()))
-        return pa.RecordBatch.from_arrays([own.column("c"), own.column("train"), own.column("eval"), *[pa.array(np.ascontiguousarray(words[:, j])) for j in range(2)], flat], names=["c", "train", "eval", "w0", "w1", "blocks"])
+        return pa.RecordBatch.from_arrays([own.column("c"), own.column("train"), own.column("eval"), pa.array([sum(map(len, r)) for r in records], pa.int32()), *[pa.array(np.ascontiguousarray(words[:, j])) for j in range(2)], flat], names=["c", "train", "eval", "size", "w0", "w1", "blocks"])
 
-    return classes.select("c", "train", "eval", "q", "o").mapInArrow(run, f"c {classes.schema['c'].dataType.simpleString()}, train boolean, eval boolean, w0 long, w1 long, blocks array<int>")
+    return classes.select("c", "train", "eval", "q", "o").mapInArrow(run, f"c {classes.schema['c'].dataType.simpleString()}, train boolean, eval boolean, size int, w0 long, w1 long, blocks array<int>")
 
 
 def hot_blocks(codes: DataFrame) -> DataFrame:
@@ -250,16 +260,20 @@ def _far(a: str, b: str) -> Column:
 
 
 def overlapping_classes(rows: DataFrame, key: str = "row_id", split: str = "split", question: str = "question", options: str = "options", radius: int = RADIUS, share: float = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members has (key, train, c); links has (a, b) of train and evaluation classes that overlap, a = b included."""
-    base = materialize(prepared(rows, key, split, question, options), "texts")
-    classes = base.groupBy("h").agg(F.min("key").alias("c"), F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"), F.first("q").alias("q"), F.first("o").alias("o"))
-    classes = materialize(classes, "classes")
+    """(members, links): members has (key, train, c, first), first being the smallest key of class c; links has (a, b) of train and evaluation classes that overlap, a = b included."""
+    base = materialize(prepared(rows, key, split, question, options).withColumn("c", F.monotonically_increasing_id()), "texts")
+    # a class is named by the number of its first row in the written table; ids may repeat, these numbers do not
+    own = base.groupBy("h").agg(F.min(F.struct("key", "c")).alias("f"), F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"))
+    groups = materialize(own.select("h", F.col("f.c").alias("c"), F.col("f.key").alias("first"), "train", "eval"), "groups")
+    classes = materialize(base.select("c", "q", "o").join(groups.select("c", "train", "eval"), "c"), "classes")
     codes = materialize(coded(classes), "codes")
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), codes.count() * BLOCKS // ROWS_A_TASK)
-    side = lambda c: codes.filter(c).select("c", "w0", "w1", F.explode("blocks").alias("k"))
+    side = lambda c: codes.filter(c).select("c", "size", "w0", "w1", F.explode("blocks").alias("k"))
     a, b = salted_many(side("train"), side("eval"), "k", materialize(hot_blocks(codes), "hot"), "c")
     a, b = (d.repartition(parts, "k", "_salt") for d in (a, b))
-    met = a.alias("a").join(b.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a._salt") == F.col("b._salt")) & (F.col("a.c") != F.col("b.c")) & (_far("a", "b") <= radius))
+    # texts whose lengths differ by more than the edits allowed need no comparison
+    sized = F.abs(F.col("a.size") - F.col("b.size")) <= share * F.greatest("a.size", "b.size")
+    met = a.alias("a").join(b.alias("b"), sized & (F.col("a.k") == F.col("b.k")) & (F.col("a._salt") == F.col("b._salt")) & (F.col("a.c") != F.col("b.c")) & (_far("a", "b") <= radius))
     pairs = materialize(met.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct(), "candidates")
     text = lambda x: classes.select(F.col("c").alias(x), F.col("q").alias("q" + x), F.col("o").alias("o" + x))
     both = pairs.join(text("a"), "a").join(text("b"), "b")
@@ -272,7 +286,7 @@ def overlapping_classes(rows: DataFrame, key: str = "row_id", split: str = "spli
     kind = classes.schema["c"].dataType.simpleString()
     linked = both.mapInArrow(verify, f"a {kind}, b {kind}")
     same = classes.filter("train and eval").select(F.col("c").alias("a"), F.col("c").alias("b"))
-    members = base.join(classes.select("h", "c"), "h").select("key", "train", "c")
+    members = base.drop("c").join(groups.select("h", "c", "first"), "h").select("key", "train", "c", "first")
     return members, linked.union(same)
 
 
@@ -292,7 +306,7 @@ def overlap_classes(rows: DataFrame, key: str = "row_id", **names) -> DataFrame:
     links = materialize(links, "links")
     ends = links.select(F.col("a").alias("c"), F.lit(True).alias("train")).union(links.select(F.col("b").alias("c"), F.lit(False).alias("train")))
     n = ends.groupBy("c", "train").agg(F.count("*").alias("n_links"))
-    return members.join(n, ["c", "train"], "left").select(F.col("key").alias(key), "train", F.col("c").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(n, ["c", "train"], "left").select(F.col("key").alias(key), "train", F.col("first").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def overlap_report(rows: DataFrame, key: str = "row_id", split: str = "split", source: str = "source", **names) -> DataFrame:
