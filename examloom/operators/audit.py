@@ -37,21 +37,21 @@ def apply_audit(df: DataFrame, conflicts: DataFrame, unit: str = "unit_hash", co
     return d.withColumn("outcome", out.otherwise("kept")).drop("resolution", "keep_content", "_fault")
 
 
-def shuffle_copies(df: DataFrame, copies: int, seed: int = 42, stem: str = "stem") -> DataFrame:
-    """Rows (copy 0) and up to ``copies`` permuted copies of each multiple choice that may be shuffled.
+def shuffle_copies(df: DataFrame, copies: int, seed: int = 42, multiple_only: bool = False, copies_last: bool = False) -> DataFrame:
+    """Rows (copy 0) and up to ``copies`` permuted copies of each question that may be shuffled; one that may not is kept once.
 
-    Answers are remapped to the new letters. Of equal prompts the first of a row order, originals before copies, is kept.
+    Permutations are keyed by the sample id of the original. Answers are remapped to the new letters. Of equal prompts the
+    first is kept, in the order of (row_id, copy), so the copies of a row come before the rows after it; with copies_last all
+    originals come before all copies. multiple_only: only questions with several right options are copied.
     """
     base = df.filter("question is not null and options is not null").withColumn("valid", F.array_join(F.transform("options", lambda o: o["letter"]), ""))
     base = base.withColumn("answer", strict_answer(F.col("gold"), F.col("valid"))).filter("answer is not null")
+    named = lambda d: d.withColumn("sample_id", text.sample_id(prompts.prompt_messages(F.col("question"), F.col("options"), "direct")))
+    base = named(base)
     full = ~F.exists("options", lambda o: F.coalesce(o["text"], F.lit("")) == "")
-    fit = base.filter((F.length("answer") > 1) & full & prompts.shuffle_safe(F.col("options")))
-    if copies == 1:
-        made = fit.withColumn("p", prompts.permutation_by_hash(F.size("options"), F.lit(str(seed)), F.col(stem), F.lit("0"))).filter("p is not null").withColumn("copy", F.lit(1))
-    else:
-        every = prompts.several_permutations(F.size("options"), F.col(stem), str(seed), copies)
-        made = fit.withColumn("ps", every).select("*", F.posexplode("ps").alias("at", "p")).withColumn("copy", F.col("at") + 1).drop("ps", "at")
-    made = made.withColumn("answer", prompts.remap_answer(F.col("answer"), F.col("p"))).withColumn("options", prompts.permute_options(F.col("options"), F.col("p"))).drop("p")
-    both = base.withColumn("copy", F.lit(0)).unionByName(made)
-    both = both.withColumn("sample_id", text.sample_id(prompts.prompt_messages(F.col("question"), F.col("options"), "direct")))
-    return first_seen(both.withColumn("_order", F.struct(F.signum("copy").alias("made"), F.col("row_id"), F.col("copy"))), "sample_id", "_order").drop("_order", "valid")
+    fit = base.filter(full & prompts.shuffle_safe(F.col("options")) & (F.length("answer") > (1 if multiple_only else 0)))
+    made = fit.select("*", F.posexplode(prompts.permutations_by_hash(F.size("options"), copies, F.lit(str(seed)), F.col("sample_id"))).alias("at", "p"))
+    made = made.withColumn("copy", F.col("at") + 1).withColumn("answer", prompts.remap_answer(F.col("answer"), F.col("p"))).withColumn("options", prompts.permute_options(F.col("options"), F.col("p"))).drop("at", "p")
+    both = base.withColumn("copy", F.lit(0)).unionByName(named(made))
+    order = F.struct(F.signum("copy").alias("made"), "row_id", "copy") if copies_last else F.struct("row_id", "copy")
+    return first_seen(both.withColumn("_order", order), "sample_id", "_order").drop("_order", "valid")

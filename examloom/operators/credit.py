@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from examloom.session import materialize
+
 
 def segment_credit(probes: DataFrame, completion: str, k: str, phi: str) -> DataFrame:
     """phi minus the phi before it; a completion's credits sum to its last phi minus its first."""
@@ -37,9 +39,21 @@ def letter_probability(letters: DataFrame, probe: str, letter: str, mass: str, g
 
 
 def average_ranks(df: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
-    """Ranks from 1, equal values share their mean rank."""
-    w = Window.partitionBy(*groups)
-    return df.withColumn(out, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*groups, value)) - 1) / 2)
+    """Ranks from 1, equal values share their mean rank; nulls are the smallest value.
+
+    Equal values are counted first. The counts are partitioned by range, added up inside a partition and shifted by the
+    sums of the partitions before it (a row for each group and partition), so no group is sorted in one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*groups, value).agg(F.count("*").alias("_k")).repartitionByRange(parts, *groups, value)
+    counts = materialize(counts.withColumn("_part", F.spark_partition_id()), "counts")
+    sums = counts.groupBy(*groups, "_part").agg(F.sum("_k").alias("_sum"))
+    sums = sums.withColumn("_base", F.sum("_sum").over(Window.partitionBy(*groups).orderBy("_part")) - F.col("_sum")).drop("_sum")
+    inside = F.sum("_k").over(Window.partitionBy(*groups, "_part").orderBy(value))
+    same = lambda names: [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in names]
+    ranked = counts.withColumn("_upto", inside).alias("a").join(sums.alias("b"), same([*groups, "_part"])).select("a.*", "b._base")
+    ranked = ranked.select(*groups, value, (F.col("_base") + F.col("_upto") - (F.col("_k") - 1) / 2).alias(out))
+    return df.alias("a").join(ranked.alias("b"), same([*groups, value])).select("a.*", f"b.{out}")
 
 
 def region_loss(tokens: DataFrame, example: str, region: str, loss: str, weights: dict[str, float]) -> DataFrame:

@@ -8,32 +8,44 @@ from pyspark.sql import functions as F
 from examloom.functions.text import shingle_hashes
 from examloom.session import materialize
 
+#: Grams whose counts are broadcast, a bound whatever the data.
+TOP_GRAMS = 1000
+
 
 def near_scores(keys: DataFrame, references: DataFrame, key: str, ref_key: str, threshold: float = 0.5, n: int = 5, min_chars: int = 8) -> DataFrame:
     """(key, ref_key, jaccard) of the best reference of each key with at least the threshold; ties go to the largest key.
 
     Two sets that are that similar share one of the rarest size - ceil(threshold x size) + 1 grams of either. Only these
     are joined, so frequent grams of templates never meet, and no pair is lost as with hashed bands. Keys shorter than
-    min_chars are left to the exact match. Grams are 64-bit numbers throughout.
+    min_chars are left to the exact match. Stems and grams are 64-bit numbers until the scores are known.
     """
-    # the distinct keys are written once; their grams, several times as many bytes, are made anew where they are used
-    stems = lambda df, c: materialize(df.select(F.col(c).alias("s")).filter(F.length("s") >= min_chars).distinct(), "stems")
-    left, right = (d.withColumn("g", F.array_distinct(shingle_hashes(F.col("s"), n))) for d in (stems(keys, key), stems(references, ref_key)))
-    both = left.select(F.explode("g").alias("x")).union(right.select(F.explode("g").alias("x")))
-    often = both.groupBy("x").agg(F.count("*").alias("often"))
+    left, right = _numbered(keys, key, n, min_chars), _numbered(references, ref_key, n, min_chars)
+    grams = lambda d: d.select("i", F.size("g").alias("size"), F.explode("g").alias("x"))
+    often = grams(left).union(grams(right)).groupBy("x").agg(F.count("*").alias("often"))
+    # the grams of the largest part of all stems are known to every task, so none of them is a hot key of the join
+    top = materialize(often.orderBy(F.col("often").desc(), "x").limit(TOP_GRAMS), "top_grams")
 
     def rare(d: DataFrame) -> DataFrame:
-        e = d.select("s", F.size("g").alias("size"), F.explode("g").alias("x")).join(often, "x")
-        place = F.row_number().over(Window.partitionBy("s").orderBy("often", "x"))
-        return e.withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1).select("s", "size", "x", "place")
+        e = grams(d)
+        e = e.join(F.broadcast(top), "x").unionByName(e.join(F.broadcast(top), "x", "left_anti").join(often, "x"))
+        place = F.row_number().over(Window.partitionBy("i").orderBy("often", "x"))
+        return e.withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1).select("i", "size", "x", "place")
 
     a, b = rare(left).alias("a"), rare(right).alias("b")
     sized = (F.col("a.size") >= F.col("b.size") * threshold) & (F.col("b.size") >= F.col("a.size") * threshold)
     # the first gram that two sets share, in order of rarity, leaves both room for the overlap that the threshold asks for
     room = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")) + 1 >= (F.col("a.size") + F.col("b.size")) * (threshold / (1 + threshold)) - 1e-6
-    pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & sized & room).select(F.col("a.s").alias("s"), F.col("b.s").alias("r")).distinct()
-    full = pairs.join(left.select("s", F.col("g").alias("gs")), "s").join(right.select(F.col("s").alias("r"), F.col("g").alias("gr")), "r")
-    shared = F.size(F.array_intersect("gs", "gr"))
-    scored = full.select("s", "r", (shared / (F.size("gs") + F.size("gr") - shared)).alias("j")).filter(F.col("j") >= threshold)
-    best = scored.groupBy("s").agg(F.max(F.struct("j", "r")).alias("best"))
-    return best.select(F.col("s").alias(key), F.col("best.r").alias(ref_key), F.col("best.j").alias("jaccard"))
+    pairs = materialize(a.join(b, (F.col("a.x") == F.col("b.x")) & sized & room).select(F.col("a.i").alias("l"), F.col("b.i").alias("r")).distinct(), "pairs")
+    full = pairs.join(left.select(F.col("i").alias("l"), F.col("g").alias("gl")), "l").join(right.select(F.col("i").alias("r"), F.col("g").alias("gr")), "r")
+    shared = F.size(F.array_intersect("gl", "gr"))
+    scored = full.select("l", "r", (shared / (F.size("gl") + F.size("gr") - shared)).alias("j")).filter(F.col("j") >= threshold)
+    # texts are fetched for what is left, the references' because ties are ordered by them
+    named = scored.join(right.select(F.col("i").alias("r"), F.col("s").alias("ref")), "r")
+    best = named.groupBy("l").agg(F.max(F.struct("j", "ref")).alias("best")).join(left.select(F.col("i").alias("l"), "s"), "l")
+    return best.select(F.col("s").alias(key), F.col("best.ref").alias(ref_key), F.col("best.j").alias("jaccard"))
+
+
+def _numbered(stems: DataFrame, c: str, n: int, min_chars: int) -> DataFrame:
+    """(i, s, g): the distinct stems with a number and their grams, worked out and written once."""
+    d = stems.select(F.col(c).alias("s")).filter(F.length("s") >= min_chars).distinct()
+    return materialize(d.select(F.monotonically_increasing_id().alias("i"), "s", F.array_distinct(shingle_hashes(F.col("s"), n)).alias("g")), "stems")

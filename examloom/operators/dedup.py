@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of each key that comes first. The join is on key and order, so copies of one key are spread."""
-    first = df.groupBy(key).agg(F.min(order).alias(order))
-    return df.join(first, [key, order], "left_semi")
+    """The row of each key that comes first, in one aggregation that combines on the map side; of equal order one row."""
+    rest = [c for c in df.columns if c not in (key, order)]
+    first = [F.min_by(F.struct(*rest), order).alias("_row")] if rest else []
+    g = df.groupBy(key).agg(F.min(order).alias(order), *first)
+    return g.select(*[F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:

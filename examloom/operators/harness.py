@@ -74,16 +74,19 @@ def score_filters(scores: Column, spans: Column) -> Column:
     return F.struct(count.alias("count_matches"), inside.alias("range_ok"), why.alias("drop_reason"))
 
 
-def within_budget(requests: DataFrame, order: str, cost: str, limit: float, slices: int = 256) -> DataFrame:
+def within_budget(requests: DataFrame, order: str, cost: str, limit: float, slices: int = 4096) -> DataFrame:
     """Requests admitted while the cost of those before them is below the limit; ``order`` is a fraction in [0, 1).
 
-    Costs are summed by slice of the order first (a table of that many rows), so rows are only ordered within a slice.
+    Costs are summed by slice of the order (a table of that many rows). Slices that end below the limit are admitted whole;
+    only the rows of the slice in which the limit lies are put in order.
     """
     d = requests.withColumn("_s", F.least(F.floor(F.col(order) * slices), F.lit(slices - 1)).cast("int"))
-    sums = d.groupBy("_s").agg(F.sum(cost).alias("_c"))
-    sums = sums.withColumn("_base", F.sum("_c").over(Window.orderBy("_s")) - F.col("_c")).filter(F.col("_base") < limit).select("_s", "_base")
-    inside = F.sum(cost).over(Window.partitionBy("_s").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return d.join(F.broadcast(sums), "_s").withColumn("_b", F.coalesce(inside, F.lit(0.0)) + F.col("_base")).filter(F.col("_b") < limit).drop("_s", "_b", "_base")
+    sums = d.groupBy("_s").agg(F.coalesce(F.sum(cost), F.lit(0.0)).alias("_c"))
+    sums = sums.withColumn("_base", F.sum("_c").over(Window.orderBy("_s")) - F.col("_c")).filter(F.col("_base") < limit)
+    d = d.join(F.broadcast(sums.select("_s", "_base", (F.col("_base") + F.col("_c") < limit).alias("_whole"))), "_s")
+    before = F.sum(cost).over(Window.partitionBy("_s").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    edge = d.filter("not _whole").withColumn("_b", F.coalesce(before, F.lit(0.0)) + F.col("_base")).filter(F.col("_b") < limit)
+    return d.filter("_whole").select(*requests.columns).union(edge.select(*requests.columns))
 
 
 def complete(requests: DataFrame, provider: Callable[[list[dict]], str], key: str = "request_hash", messages: str = "messages") -> DataFrame:

@@ -220,14 +220,14 @@ def official_prompts(spark, d):
 
 @register("shuffle_augment")
 def shuffle_augment(spark, d):
-    """Originals and one permuted copy of each safe multiple choice, deduplicated in source order."""
-    return audit.shuffle_copies(with_unit(_whole(spark, d)), copies=1).select("row_id", "copy", "sample_id", "answer")
+    """Originals and one permuted copy of each safe question, deduplicated in source order."""
+    return audit.shuffle_copies(_whole(spark, d), copies=1).select("row_id", "copy", "sample_id", "answer")
 
 
 @register("dose_augment")
 def dose_augment(spark, d):
-    """Three permuted copies; each differs from those before it."""
-    return audit.shuffle_copies(with_unit(_whole(spark, d)), copies=3).select("row_id", "copy", "sample_id", "answer")
+    """Three permuted copies of each safe question with several right options, after all originals."""
+    return audit.shuffle_copies(_whole(spark, d), copies=3, multiple_only=True, copies_last=True).select("row_id", "copy", "sample_id", "answer")
 
 
 _CONTENT = f"list_sort(list_transform(list_filter(options, lambda o: contains(gold, o.letter)), lambda o: {q.stem('o.text')}))"
@@ -244,7 +244,7 @@ def _labelled(spark, d):
 
 @register("label_audit_clean", f"WITH u AS (SELECT row_id, source, {_UNIT} AS unit_hash, array_to_string({_CONTENT}, '|') AS content FROM build_ablation_sets WHERE options IS NOT NULL AND question IS NOT NULL AND gold IS NOT NULL), c AS (SELECT unit_hash, content, count(*) AS n FROM u GROUP BY ALL), m AS (SELECT unit_hash, count(*) AS k, count(*) FILTER (n = mx) AS tops, min(content) FILTER (n = mx) AS keep FROM (SELECT *, max(n) OVER (PARTITION BY unit_hash) AS mx FROM c) GROUP BY unit_hash), r AS (SELECT * FROM m WHERE k > 1) SELECT source, CASE WHEN source <> 'cmb_train' THEN 'kept' WHEN tops > 1 THEN 'tie_conflict' WHEN tops = 1 AND content <> keep THEN 'minority_label' ELSE 'kept' END AS outcome, count(*) AS n FROM u LEFT JOIN r USING (unit_hash) GROUP BY ALL")
 def label_audit_clean(spark, d):
-    rows = _labelled(spark, d)
+    rows = materialize(_labelled(spark, d).select("row_id", "source", "unit_hash", "content"), "labelled")
     return audit.apply_audit(rows, audit.label_conflicts(rows)).groupBy("source", "outcome").agg(F.count("*").alias("n"))
 
 

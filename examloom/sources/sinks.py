@@ -45,17 +45,28 @@ def append_results(new: DataFrame, path: str, key: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the target and swap by rename, so that readers see the old or the new table, never a part."""
+    """Write beside the target, then swap: the old table is moved away and the new one to its place.
+
+    A table is complete wherever it has the target's name; between the two renames nothing has it, so a reader that opens the
+    target then must try again. If the second rename fails, the old table is put back and the error raised; it is only
+    deleted when the new one stands.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path
     beside, old = f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
     df.write.parquet(beside)
     fs = at(path).getFileSystem(conf)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(beside), at(path))
-    drop_table(spark, old)
+    there = fs.exists(at(path))
+    if there and not fs.rename(at(path), at(old)):
+        drop_table(spark, beside)
+        raise OSError(f"{path} could not be moved away; it is as it was")
+    if not fs.rename(at(beside), at(path)):
+        if there and not fs.rename(at(old), at(path)):
+            raise OSError(f"{path} could not be replaced; the old table is in {old}, the new one in {beside}")
+        raise OSError(f"{path} could not be replaced; the new table is in {beside}")
+    if there:
+        drop_table(spark, old)
 
 
 def score_markdown(slices: DataFrame) -> str:

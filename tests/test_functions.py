@@ -90,7 +90,7 @@ def test_permutations(spark):
     r = _q(spark).select(prompts.remap_answer(F.lit("D"), p).alias("d"), prompts.remap_answer(F.lit("BDE"), p).alias("bde"), prompts.unmap_answer(F.lit("ACD"), p).alias("back"), prompts.unmap_answer(F.lit(None).cast("string"), p).alias("none"), prompts.unmap_answer(F.lit("F"), p).alias("out"), prompts.permute_options(F.col("options"), p).alias("o")).first()
     assert (r.d, r.bde, r.back, r.none, r.out) == ("A", "ACD", "BDE", None, None) and [o.text for o in r.o] == ["丁", "甲", "戊", "乙", "丙"]
     df = spark.createDataFrame([(n, f"k{i}") for n in (2, 3, 5) for i in range(60)], "n int, k string")
-    rows = df.select("n", "k", prompts.permutation_by_hash(F.col("n"), F.lit("42"), F.col("k"), F.lit("0")).alias("p"), prompts.several_permutations(F.col("n"), F.col("k"), "42", 3).alias("s")).collect()
+    rows = df.select("n", "k", prompts.permutations_by_hash(F.col("n"), 1, F.lit("42"), F.col("k"))[0].alias("p"), prompts.permutations_by_hash(F.col("n"), 3, F.lit("42"), F.col("k")).alias("s")).collect()
     for r in rows:
         assert sorted(r.p) == list(range(r.n)) and r.p != list(range(r.n)) and r.s[0] == r.p
         assert len({tuple(x) for x in r.s}) == len(r.s) == min(3, math.factorial(r.n) - 1)

@@ -106,8 +106,14 @@ def test_audit_and_copies(spark):
     got = {r.row_id: r.outcome for r in audit.apply_audit(d, conflicts, structural=faults).collect()}
     assert got == {1: "kept", 2: "kept", 3: "minority_label", 4: "tie_conflict", 5: "tie_conflict", 6: "kept", 7: "figure_reference", 8: "kept"}
     q = spark.createDataFrame([(1, "问一", opts, "AB", "问一"), (2, "问二", [*opts[:2], ("C", "以上都是")], "AB", "问二"), (3, "问三", opts, "A", "问三"), (4, "问一", opts, "AB", "问一")], "row_id int, question string, options array<struct<letter:string,text:string>>, gold string, stem string")
-    one, three = audit.shuffle_copies(q, 1), audit.shuffle_copies(q, 3)
+    one, three = audit.shuffle_copies(q, 1, multiple_only=True, copies_last=True), audit.shuffle_copies(q, 3, multiple_only=True, copies_last=True)
     assert _rows(one, "row_id", "copy") == [(1, 0), (1, 1), (2, 0), (3, 0)] and three.count() == 6
+    # every safe question is copied, single ones too; a copy comes before the rows after its original
+    every = audit.shuffle_copies(q, 1)
+    assert _rows(every, "row_id", "copy") == [(1, 0), (1, 1), (2, 0), (3, 0), (3, 1)]
+    clash = every.filter("copy = 1 and row_id = 1").select(F.lit(9).alias("row_id"), "question", "options", F.col("answer").alias("gold"), "stem")
+    assert _rows(audit.shuffle_copies(q.union(clash), 1), "row_id", "copy")[:2] == [(1, 0), (1, 1)] and (9, 0) not in _rows(audit.shuffle_copies(q.union(clash), 1), "row_id", "copy")
+    assert (9, 0) in _rows(audit.shuffle_copies(q.union(clash), 1, copies_last=True), "row_id", "copy")
     assert {r.sample_id for r in one.collect()} < {r.sample_id for r in three.collect()}
     for r in three.filter("row_id = 1").collect():
         assert {o.text for o in r.options if o.letter in r.answer} == {"甲", "乙"}
@@ -175,3 +181,35 @@ def test_training_tables(spark):
     assert training.configured({"a": 2}, Settings).a == 2
     with pytest.raises(ValueError, match="unknown settings: b, c"):
         training.configured({"c": 1, "b": 2}, Settings)
+
+
+def test_average_ranks_with_a_hot_group(spark):
+    rng = random.Random(2)
+    rows = [("hot" if i % 3 else f"g{i % 7}", rng.choice([None, *range(40)]), i) for i in range(900)]
+    d = spark.createDataFrame(rows, "g string, v int, i int")
+    got = {r.i: r.rank for r in credit.average_ranks(d, ["g"], "v", "rank").collect()}
+    for name in {g for g, _, _ in rows}:
+        values = sorted((-1 if v is None else v) for g, v, _ in rows if g == name)
+        for g, v, i in rows:
+            if g == name:
+                at = [k for k, x in enumerate(values, 1) if x == (-1 if v is None else v)]
+                assert got[i] == sum(at) / len(at)
+
+
+def test_budget_puts_only_one_slice_in_order(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.random(), float(rng.randrange(0, 5))) for i in range(700)]
+    d = spark.createDataFrame(rows, "i int, f double, c double")
+    for limit in (0.0, 1.0, 333.0, 1e9):
+        want, spent = set(), 0.0
+        for i, _, c in sorted(rows, key=lambda r: r[1]):
+            if spent < limit:
+                want.add(i)
+            spent += c
+        for slices in (1, 16, 4096):
+            assert {r.i for r in harness.within_budget(d, "f", "c", limit, slices).collect()} == want
+
+
+def test_first_seen_keeps_the_whole_row(spark):
+    d = spark.createDataFrame([("a", 2, "x", [1]), ("a", 1, None, None), (None, 5, "n", [2]), (None, 4, "m", [3])], "k string, o int, t string, l array<int>")
+    assert _rows(dedup.first_seen(d, "k", "o").fillna("-", ["k", "t"]), "k", "o", "t", "l") == [("-", 4, "m", [3]), ("a", 1, "-", None)]
