@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES: tuple[str, ...] = ("mcq", "scores", "tables", "more")
+NAMES: tuple[str, ...] = ("mcq", "scores", "tables", "more", "loaders")
 
 
 def load_all() -> None:

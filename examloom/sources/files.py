@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from examloom.functions.answers import letter_set, scorer_answer
+from examloom.functions.prompts import parse_user
 from examloom.functions.text import question_key, stem_key, strip
 from examloom.operators.records import conversation_reason, parsed_records
 
@@ -15,8 +19,9 @@ ID_FIELDS = ("id", "question_id", "qid", "sample_id")
 GOLD_FIELDS = ("gold", "answer", "label", "gold_answer", "reference")
 PREDICTION_FIELDS = ("prediction", "pred", "predicted", "model_answer", "predicted_answer", "choice")
 CORRECT_FIELDS = ("correct", "is_correct")
-TRUTH_FIELDS = ("answer", "gold", "label", "correct_answer", "answers")
+TRUTH_FIELDS = ("answer", "model_answer", "correct_answer", "standard_answer", "gold_answer")
 WRAPPERS = ("data", "test", "questions", "records", "items")
+TRUTH_WRAPPERS = ("data", "test", "answers", "records", "items")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -76,30 +81,72 @@ def read_sheet(spark: SparkSession, path: str, required: tuple[str, ...] = ("Que
     return d
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(id, record as variant) of a JSON list, a list under a known key, or an object of objects whose keys are ids."""
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    kind = whole.select(F.schema_of_variant("v").alias("k"), *[F.try_variant_get("v", f"$.{w}", "variant").alias(w) for w in WRAPPERS]).first()
+def _is(value: Column, kind: str) -> Column:
+    return F.schema_of_variant(value).startswith(kind)
+
+
+def _entries(spark: SparkSession, path: str, wrappers: tuple[str, ...]) -> DataFrame:
+    """(file, wrapped, pos, key, value) of the JSON documents of a path, each file by its own layout.
+
+    A list, a list under the first wrapper that holds one, or an object, whose entries have a key instead of a place.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"), F.col("_metadata.file_path").alias("file"))
     root = F.col("v")
-    if not kind["k"].startswith("ARRAY"):
-        inner = [w for w in WRAPPERS if kind[w] is not None]
-        if inner:
-            root = F.try_variant_get("v", f"$.{inner[0]}", "variant")
-    d = whole.select(root.alias("v")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-    own = F.try_variant_get("value", "$.id", "string")
-    return d.select(F.coalesce(own, F.col("key"), (F.col("pos") + 1).cast("string")).alias("id"), F.col("value").alias("record"))
+    for w in reversed(wrappers):
+        inner = F.try_variant_get("v", f"$.{w}", "variant")
+        root = F.when(_is(inner, "ARRAY"), inner).otherwise(root)
+    whole = whole.withColumn("v", F.when(_is(F.col("v"), "OBJECT"), root).otherwise(F.col("v")))
+    return whole.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("file", F.when(_is(F.col("v"), "ARRAY"), F.col("pos")).alias("pos"), F.when(_is(F.col("v"), "OBJECT"), F.col("key")).alias("key"), "value")
+
+
+def _own_id() -> Column:
+    return F.try_variant_get("value", "$.id", "string")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(id, record as variant) of a JSON list, a list under a known key, or an object of objects whose keys are ids.
+
+    Any other layout is an error that names the file. Records of a list without an id are numbered from 1 in their file.
+    """
+    d = _entries(spark, path, WRAPPERS)
+    odd = d.filter(F.col("value").isNull() | F.col("pos").isNull() & (F.col("key").isNull() | ~_is(F.col("value"), "OBJECT"))).select("file").limit(1).collect()
+    if odd and not _empty(odd[0]["file"], spark):
+        raise ValueError(f"{odd[0]['file']}: neither a list of records nor an object of them")
+    d = d.filter(F.col("value").isNotNull())
+    return d.select(F.coalesce(_own_id(), F.col("key"), (F.col("pos") + 1).cast("string")).alias("id"), F.col("value").alias("record"))
+
+
+def _empty(path: str, spark: SparkSession) -> bool:
+    """Whether a document is an empty list or object."""
+    return spark.read.text(path, wholetext=True).filter(F.regexp_replace("value", r"\s+", "").isin("[]", "{}")).limit(1).count() > 0
+
+
+def _present(record: Column, names: tuple[str, ...]) -> Column:
+    """The value of the first of the fields that is there, even if it is null; as text, which for a list is its JSON."""
+    out = F.lit(None).cast("string")
+    for f in reversed(names):
+        own = F.try_variant_get(record, f"$.{f}", "variant")
+        out = F.when(own.isNotNull(), F.try_variant_get(own, "$", "string")).otherwise(out)
+    return out
 
 
-def ground_truth(records: DataFrame) -> DataFrame:
-    """(id, answer): the first present answer field, or the record itself if it is a string; blanks are left out."""
-    fields = [F.try_variant_get("record", f"$.{f}", "string") for f in TRUTH_FIELDS]
-    answer = F.coalesce(*fields, F.try_variant_get("record", "$", "string"))
-    return records.select("id", F.trim(answer).alias("answer")).filter("answer != ''")
+def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
+    """(id, answer) of answer files: a list of records, one under a known key, or an object of records or answers by id.
+
+    The first answer field that is there counts; answers are normalised, empty ones left out. What is no record in a list is
+    left out; of a repeated id the last entry of the last file counts.
+    """
+    d = _entries(spark, path, TRUTH_WRAPPERS).filter("value is not null")
+    record = _is(F.col("value"), "OBJECT")
+    d = d.filter(F.col("key").isNotNull() | record)
+    raw = F.when(record, _present(F.col("value"), TRUTH_FIELDS)).otherwise(F.try_variant_get("value", "$", "string"))
+    d = d.select(F.coalesce("key", _own_id(), (F.col("pos") + 1).cast("string")).alias("id"), scorer_answer(raw).alias("answer"), F.struct("file", "pos").alias("at")).filter("answer != ''")
+    return d.groupBy("id").agg(F.max_by("answer", "at").alias("answer"))
 
 
 def predictions(records: DataFrame) -> DataFrame:
-    """(id, answer) of a prediction file; the same id twice is an error."""
-    p = records.select("id", F.coalesce(F.try_variant_get("record", "$.model_answer", "string"), F.try_variant_get("record", "$.answer", "string")).alias("answer"))
+    """(id, answer) of a prediction file, answers normalised; the same id twice is an error."""
+    p = records.select("id", scorer_answer(_present(F.col("record"), ("model_answer", "answer"))).alias("answer"))
     twice = p.groupBy("id").count().filter("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"id {twice[0]['id']} is predicted {twice[0]['count']} times")
@@ -113,33 +160,58 @@ def pick(columns: list[str], names: tuple[str, ...], given: str | None = None) -
     return next((n for n in names if n in columns), None)
 
 
-def _truth(df: DataFrame, c: str) -> Column:
-    kind = df.schema[c].dataType.typeName()
-    return F.lower(F.col(c)).isin("1", "true", "yes") if kind == "string" else F.coalesce(F.col(c).cast("boolean"), F.lit(False))
+def read_predictions(spark: SparkSession, path: str, truth: DataFrame | None = None, columns: tuple[str, ...] = (), **given: str) -> DataFrame:
+    """(id, right, columns) of JSON lines whose field names are found out from the first line; ids are line numbers, from 0,
+    where there are none. Nothing is read to infer a schema.
 
-
-def read_predictions(spark: SparkSession, path: str, truth: DataFrame | None = None, **given: str) -> DataFrame:
-    """(id, right, record columns) of JSON lines whose field names are found out; ids are line numbers where there are none.
-
-    truth: (id, answer) that replaces the file's own gold answers.
+    truth: (id, answer) that replaces the file's own gold answers. columns: fields to keep, as strings.
     """
-    from examloom.functions.answers import letter_set
-
-    d = spark.read.json(path)
-    key, gold = pick(d.columns, ID_FIELDS, given.get("id")), pick(d.columns, GOLD_FIELDS, given.get("gold"))
-    pred, right = pick(d.columns, PREDICTION_FIELDS, given.get("prediction")), pick(d.columns, CORRECT_FIELDS, given.get("correct"))
+    lines = spark.read.text(path).filter(strip(F.col("value")) != "")
+    first = lines.select(F.json_object_keys("value").alias("k")).first()
+    names = list(first["k"] or []) if first else []
+    key, gold = pick(names, ID_FIELDS, given.get("id")), pick(names, GOLD_FIELDS, given.get("gold"))
+    pred, right = pick(names, PREDICTION_FIELDS, given.get("prediction")), pick(names, CORRECT_FIELDS, given.get("correct"))
     if right is None and (pred is None or gold is None and truth is None):
-        raise ValueError(f"{path}: neither a correct field nor gold and prediction among {', '.join(d.columns)}")
+        raise ValueError(f"{path}: neither a correct field nor gold and prediction among {', '.join(names)}")
     if key is None:
-        names = d.columns
-        d = read_lines(spark, path).withColumn("_j", F.from_json("value", d.schema)).select(*[F.col(f"_j.{c}").alias(c) for c in names], (F.col("line_no") - 1).alias("_id"))
-        key = "_id"
-    answer = F.col(gold).cast("string") if gold else F.lit(None).cast("string")
+        lines = read_lines(spark, path).filter(strip(F.col("value")) != "").withColumn("id", (F.col("line_no") - 1).cast("string"))
+    d = lines.withColumn("v", F.parse_json("value"))
+    field = lambda c: F.try_variant_get("v", f'$["{c}"]', "string") if c else F.lit(None).cast("string")
+    d = d.select(field(key).alias("id") if key else F.col("id"), field(gold).alias("_gold"), field(pred).alias("_pred"), field(right).alias("_right"), F.schema_of_variant(F.try_variant_get("v", f'$["{right or ""}"]', "variant")).alias("_kind"), *[field(c).alias(c) for c in columns])
     if truth is not None:
-        d = d.join(truth.select(F.col("id").alias("_t"), F.col("answer").alias("_answer")), F.col(key).cast("string") == F.col("_t"), "left").drop("_t")
-        answer = F.coalesce("_answer", answer)
-    ok = _truth(d, right) if right else (letter_set(answer) == letter_set(F.col(pred))) & (F.size(letter_set(answer)) > 0)
-    return d.withColumn("right", ok).withColumn("id", F.col(key).cast("string"))
+        d = d.join(truth.select("id", F.col("answer").alias("_answer")), "id", "left").withColumn("_gold", F.coalesce("_answer", "_gold"))
+    said = F.when(F.col("_kind") == "STRING", F.lower("_right").isin("1", "true", "yes")).otherwise(~F.coalesce(F.col("_right"), F.lit("null")).isin("false", "null", "0", "0.0", "[]", "{}"))
+    ok = said if right else (letter_set(F.col("_gold")) == letter_set(F.col("_pred"))) & (F.size(letter_set(F.col("_gold"))) > 0)
+    return d.select("id", ok.alias("right"), *columns)
+
+
+def read_reference_stems(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(stem, source) of question files: records of .json, sheets of .csv, lines of .jsonl with a question or a conversation.
+
+    Another suffix is an error. Lines that cannot be read as a question, and empty stems, are left out.
+    """
+    out = None
+    for path in paths:
+        kind = path.rstrip("/").rsplit(".", 1)[-1]
+        if kind == "json":
+            q = spark.read.schema("question string").json(path, multiLine=True).select("question")
+        elif kind == "csv":
+            d = spark.read.csv(path, header=True, multiLine=True, escape='"')
+            # names that differ in case only get the number of their column
+            known = sorted((c for c in d.columns if re.fullmatch(r"[Qq]uestion\d*", c)), key=lambda c: c[0] == "q")
+            own = [F.nullif(F.col(f"`{c}`"), F.lit("")) for c in known]
+            q = d.select((F.coalesce(*own) if own else F.lit(None).cast("string")).alias("question"))
+        elif kind == "jsonl":
+            j = spark.read.text(path).select(F.from_json("value", f"question string, messages {MESSAGES}").alias("j"), F.array_contains(F.json_object_keys("value"), "question").alias("own"))
+            user = F.try_element_at(F.filter("j.messages", lambda m: m["role"] == "user"), F.lit(1))["content"]
+            q = j.select(F.when(F.col("own"), F.col("j.question")).otherwise(F.when(parse_user(user)["options"].isNotNull(), parse_user(user)["question"])).alias("question"))
+        else:
+            raise ValueError(f"{path}: not a .json, .csv or .jsonl file")
+        part = q.select(stem_key(F.col("question")).alias("stem"), F.lit(path).alias("source")).filter("stem != ''")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no reference sets")
+    return out
 
 
 def reference_stems(frames: list[tuple[str, DataFrame, str]], strict: bool = True) -> DataFrame:

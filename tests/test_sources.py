@@ -85,11 +85,47 @@ def test_sheet(spark, tmp_path):
 
 @pytest.mark.parametrize("shape", ["list", "wrapped", "object", "plain"])
 def test_polymorphic_records(spark, tmp_path, shape):
-    rows = [{"id": "x", "answer": " A "}, {"id": "y", "gold": "B"}, {"id": "z", "answer": " "}]
-    data = {"list": rows, "wrapped": {"questions": rows}, "object": {r["id"]: {k: v for k, v in r.items() if k != "id"} for r in rows}, "plain": {"x": "A", "y": "B"}}[shape]
+    rows = [{"id": "x", "answer": " A "}, {"id": "y", "gold_answer": "B"}, {"id": "z", "answer": " "}]
+    data = {"list": rows, "wrapped": {"answers": rows}, "object": {r["id"]: {k: v for k, v in r.items() if k != "id"} for r in rows}, "plain": {"x": "A", "y": "B"}}[shape]
     path = tmp_path / "r.json"
     path.write_text(json.dumps(data), encoding="utf-8")
-    assert {(r.id, r.answer) for r in files.ground_truth(files.read_records(spark, str(path))).collect()} == {("x", "A"), ("y", "B")}
+    assert {(r.id, r.answer) for r in files.read_ground_truth(spark, str(path)).collect()} == {("x", "A"), ("y", "B")}
+
+
+TRUTHS = [
+    ({"answers": [{"id": "1", "answer": "A"}, "no record", {"answer": "b"}]}, {("1", "A"), ("3", "B")}),
+    ([{"id": "1", "answer": None, "gold_answer": "C"}, {"id": 2, "model_answer": ["A", "C"]}, {"id": "3", "standard_answer": "d, a"}], {("2", "AC"), ("3", "AD")}),
+    ({"data": {"answer": "B"}, "q2": {"correct_answer": "ＣＤ"}}, {("data", "B"), ("q2", "CD")}),
+    ({"1": "A", "2": "bcd", "3": None, "4": ""}, {("1", "A"), ("2", "BCD")}),
+    ([{"id": "x", "answer": "A"}, {"id": "x", "answer": "B"}], {("x", "B")}), ([], set()), ({"items": []}, set()),
+]
+
+
+@pytest.mark.parametrize("data,want", TRUTHS)
+def test_ground_truth_layouts(spark, tmp_path, data, want):
+    (tmp_path / "t.json").write_text(json.dumps(data), encoding="utf-8")
+    assert {(r.id, r.answer) for r in files.read_ground_truth(spark, str(tmp_path / "t.json")).collect()} == want
+
+
+def test_every_file_has_its_own_layout(spark, tmp_path):
+    for i, data in enumerate(([{"answer": "A"}], {"data": [{"id": "b", "answer": "B"}]}, {"c": {"answer": "C"}}, {"data": {"answer": "D"}, "e": {"answer": "E"}}, [])):
+        (tmp_path / f"{i}.json").write_text(json.dumps(data), encoding="utf-8")
+    got = {(r.id, r.answer) for r in files.predictions(files.read_records(spark, str(tmp_path))).collect()}
+    assert got == {("1", "A"), ("b", "B"), ("c", "C"), ("data", "D"), ("e", "E")}
+    (tmp_path / "bad.json").write_text('{"a": "A"}', encoding="utf-8")
+    with pytest.raises(ValueError, match="bad.json"):
+        files.read_records(spark, str(tmp_path))
+
+
+def test_reference_stems_by_suffix(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"question": "问 A。", "x": 1}, {"question": None}]), encoding="utf-8")
+    (tmp_path / "b.csv").write_text("\ufeffQuestion,question\n,问b\n问C,x\n", encoding="utf-8")
+    lines = [json.dumps({"question": "问d"}), _line("A"), json.dumps({"messages": [{"role": "user", "content": "free text"}]}), "", json.dumps({"question": None, "messages": []})]
+    c = _write(tmp_path / "c.jsonl", *lines)
+    got = {(r.stem, r.source.rsplit("/", 1)[-1]) for r in files.read_reference_stems(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.csv"), c]).collect()}
+    assert got == {("问a", "a.json"), ("问b", "b.csv"), ("问c", "b.csv"), ("问d", "c.jsonl"), ("问", "c.jsonl")}
+    with pytest.raises(ValueError, match="x.txt"):
+        files.read_reference_stems(spark, ["x.txt"])
 
 
 def test_predictions(spark, tmp_path):
@@ -99,6 +135,11 @@ def test_predictions(spark, tmp_path):
     assert files.read_predictions(spark, b).filter("right").count() == 5
     c = _write(tmp_path / "c.jsonl", json.dumps({"gold": "A", "pred": "A"}), json.dumps({"gold": "", "pred": ""}))
     assert [(r.id, r.right) for r in files.read_predictions(spark, c).orderBy("id").collect()] == [("0", True), ("1", False)]
+    e = _write(tmp_path / "e.jsonl", *[json.dumps({"id": i, "correct": x, "exam_type": "t"}) for i, x in enumerate([True, False, 1, 0, None, "TRUE", "no"])])
+    assert [(r.id, r.right, r.exam_type) for r in files.read_predictions(spark, e, columns=("exam_type",)).orderBy("id").collect()] == [(str(i), i in (0, 2, 5), "t") for i in range(7)]
+    # the first line names the fields; a field that only later lines have does not count
+    f = _write(tmp_path / "f.jsonl", json.dumps({"id": "a", "gold": "A", "pred": "A"}), json.dumps({"id": "b", "gold": "A", "pred": "B", "correct": True}))
+    assert [(r.id, r.right) for r in files.read_predictions(spark, f).orderBy("id").collect()] == [("a", True), ("b", False)]
     truth = spark.createDataFrame([("0", "B")], "id string, answer string")
     assert files.read_predictions(spark, a, truth).filter("right").count() == 29
     with pytest.raises(ValueError, match="neither"):
@@ -128,6 +169,9 @@ def test_sinks(spark, tmp_path):
     sinks.replace_table(ids, target)
     sinks.replace_table(ids.filter("id = 1"), target)
     assert spark.read.parquet(target).count() == 1 and [p.name for p in tmp_path.iterdir() if ".old" in p.name or ".new" in p.name] == []
+    with pytest.raises(Exception):
+        sinks.replace_table(ids.selectExpr("assert_true(id > 1) as x"), target)
+    assert spark.read.parquet(target).count() == 1
     assert json.loads(sinks.report_json(ids.groupBy("x").count(), seed=42))["seed"] == 42
     sinks.write_groups(spark.createDataFrame([("g", 1 / 3)], "g string, a double"), str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).first().a == "0.333333"
