@@ -61,16 +61,16 @@ RULES: list[tuple[str, tuple[str, ...], str]] = [
     ("placeholder", ("${", "#{"), r"[$#]\{ ?[^{}\n]{1,60}\}"), ("placeholder", ("[[",), rf"\[\[ ?{_NAME} ?\]\]"), ("placeholder", ("@@",), rf"@@ ?{_NAME} ?@@"),
     ("placeholder", ("$",), rf"\${_FIELD}\$"), ("placeholder", ("__",), rf"(?<![a-z_])__{_FIELD}__(?![a-z_])"), ("placeholder", ("#",), rf"#{_FIELD}#"),
     ("placeholder", ("%(",), rf"%\({_NAME}\)[sdf]"), ("placeholder", ("%s", "%d"), r"(?<![\d%a-z])%[sd](?![a-z0-9])"),
-    ("placeholder", ("{",), rf"(?<![\\a-z^_}}])\{{(?:[a-z][a-z0-9_.]{{2,}}|[{_HAN}]{{2,8}}|\d)\}}"),
-    ("placeholder", ("[",), rf"(?<![a-z0-9\]])\[{_FIELD}\](?!\()"), ("placeholder", ("<",), rf"<(?:{_ID}|[{_HAN}]{{0,4}}{_NOUN_ZH}[a-g]?|(?!(?:title|body|time|link|image|address|text|content)>){_NOUN_EN})>|(?<=[^\s>])<(?:title|body|time|link|image|address|text|content)>(?!.*</)"),
+    ("placeholder", ("{",), rf"(?<![\\a-z^_}}])\{{(?:[a-z][a-z0-9_.]{{2,}}|[{_HAN}]{{2,8}}[a-g]?|\d)\}}"),
+    ("placeholder", ("[",), rf"(?<![a-z0-9\]])\[{_FIELD}\](?!\((?:https?:|/|#|www|mailto))"), ("placeholder", ("<",), rf"<(?:{_ID}|[{_HAN}]{{0,4}}{_NOUN_ZH}[a-g]?|(?!(?:title|body|time|link|image|address|text|content)>){_NOUN_EN})>|(?:(?<=[^\s>])|(?<=[a-z0-9] )(?=<[a-z]+> [a-z0-9]))<(?:title|body|time|link|image|address|text|content)>(?!.*</)"),
     ("placeholder", ("x", "×"), rf"[×x]{{2}}{_FIELD}[×x]{{2}}"), ("placeholder", ("xxx",), r"(?<![a-z])x{3}(?![a-z])"),
     ("placeholder", ("[", "(", "【", "〔", "〈", "<", "{"), r"[\[(【〔〈<{][^\]\[)(】【〔〕〈〉<>{}]{0,10}(?:待填|占位|待补充?|此处填写|请填写|请输入|此处插入|此处输入)[^\]\[)(】【〔〕〈〉<>{}]{0,12}[\])】〕〉>}]"),
     ("placeholder", ("[", "<", "{", "(", "【"), r"[\[<{(【](?:please )?(?:insert|your|add|enter|type|put|fill in|write|replace)[ _][a-z0-9 _'-]{2,50}[\]>})】]"),
     ("placeholder", ("[object",), r"\[object [a-z]+\]"), ("placeholder", ("#",), r"#(?:ref|n/a|value|name|div/0|null|num)[!?]"),
-    ("placeholder", ("$",), r"(?:^|[^\d\s.,(/])\$[1-9](?=[^\d\s.,)/-])|(?:hello|hi|dear) \$[1-9]|亲爱的\$[1-9]"),
-    ("placeholder", ("undefined", "null", "nan", "none"), rf"(?:[:=] ?|^(?:dear|hello|hi|welcome),? )(?:{_NOTHING}|none)(?![a-z_\"'])(?: ?[.,;!。]|$)|(?<=[{_HAN}《(:=]){_NOTHING}(?=[{_HAN}》,。、;/%)]|$)|(?<=[{_HAN}])none(?![a-z])|(?<![a-z])none(?=[{_HAN}])"),
-    ("placeholder", ("undefined", "null", "nan"), rf"(?<![a-z_\"']){_NOTHING}(?![a-z_\"']).{{0,60}}(?<![a-z_\"']){_NOTHING}(?![a-z_\"'])|(?<![a-z_\"']){_NOTHING} ?(?:mg|ml|kg|cm|mmhg|岁|例|分)(?![a-z])|^{_NOTHING}$|(?:than|every|after|about) (?:undefined|nan) [a-z]+s(?![a-z])"),
-    ("placeholder", ("none",), r"(?:hello|hi|dear) none[,!].*|(?<![a-z])none(?![a-z]).{1,40}(?:about|on|for|of|is) none[.!]?$|: none(?:\W|$).*: none(?:\W|$)"),
+    ("placeholder", ("$",), r"(?:^|[^\d\s.,(/])\$[1-9](?=[^\d\s.,)/-])|(?:hello|hi|dear) \$[1-9]|亲爱的\$[1-9]|[:.] ?\$[1-9]$|(\$[1-9])(?![\d.,]\d)(?! ?(?:per|a|each|and|to|million|billion)(?![a-z])).{1,40}\1(?![\d.,]\d)(?! ?(?:per|a|each|million|billion)(?![a-z]))"),
+    ("placeholder", ("undefined", "null", "nan", "none"), rf"(?:[:=] ?|^(?:dear|hello|hi|welcome),? )(?:{_NOTHING}|none)(?![a-z_\"'])(?: ?[.,;!。]|$)|(?<=[{_HAN}《(:=]){_NOTHING}(?=[{_HAN}》,。、;/%)°]|$)|(?<=[{_HAN}])none(?![a-z])|(?<![a-z])none(?=[{_HAN}])|(?<=[-<>=≥≤~]){_NOTHING}(?![a-z_\"'])"),
+    ("placeholder", ("undefined", "null", "nan"), rf"(?<![a-z_\"']){_NOTHING}(?![a-z_\"']).{{0,60}}(?<![a-z_\"']){_NOTHING}(?![a-z_\"'])|(?<![a-z_\"']){_NOTHING} ?(?:mg|ml|kg|cm|mmhg|岁|例|分)(?![a-z])|^{_NOTHING}$|(?:than|every|after|about) (?:undefined|nan) [a-z]+s(?![a-z])|(?<![a-z_\"'])undefined.{{0,60}}(?<![a-z_\"'])undefined|(?<![a-z])undefined(?:mg|ml|kg|cm|mmol|μmol|ng|pg|g/l|u/l|iu)|(?<=[<>=约-])undefined"),
+    ("placeholder", ("none",), r"(?:hello|hi|dear) none[,!].*|(?<![a-z])none(?![a-z]).{1,40}(?:about|on|for|of|is) none[.!]?$|: none(?:\W|$).*: none(?:\W|$)|(?<![a-z])none (?:[a-z]+ ){1,2}none(?![a-z]| of)"),
     ("script_required", ("script", "js", "client-side"), rf"(?:enable|allow|turn(?:ed)? on|switch(?:ed)? on|activate|needs?|requires?|required?|without|blocks?|blocked|disabled?|must be|support) .{{0,24}}{_SCRIPT}(?!\w)(?!.{{0,12}}(?:developer|library|file))"),
     ("script_required", ("script", "js", "client-side"), rf"{_SCRIPT}.{{0,30}}(?:disabled|must be (?:allowed|enabled|on)|(?:is|are) (?:off|required|blocked|disabled|not (?:enabled|supported|available))|to be enabled|turned off|switched off)"),
     ("script_required", ("js", "脚本", "script", "client-side"), rf"(?:启用|开启|允许|打开|禁用|需要|未检测到|未开启|未启用|不支持|支持|关闭|运行|屏蔽).{{0,8}}{_SCRIPT}.{{0,24}}(?:查看|访问|提交|继续|显示|加载|答题|刷新|支持|无法|后|才能|方可|浏览|$|!)"),
@@ -91,13 +91,13 @@ RULES: list[tuple[str, tuple[str, ...], str]] = [
     ("error", ("登录", "登陆", "会话"), r"(?:登[录陆](?:状态|信息)?|会话)(?:已)?(?:失效|过期|超时)|请(?:您)?(?:先|重新)登[录陆](?:后|$|[!。,])"),
     ("error", ("稍后", "稍候", "刷新", "管理员", "首页", "跳转", "检查"), r"请?(?:您)?(?:稍后|稍候)(?:片刻)?(?:再试|重试|再来|再访问|刷新)|(?:^|[!。, ])(?:请)?点击刷新|请刷新(?:页面|后|重试)|(?:^|[!。, ])请(?:与)?联系(?:系统|网站)?管理员|返回(?:网站|题库|上一页|站点)?首页|秒后(?:自动)?跳转|请检查(?:您的)?网络"),
     ("error", tuple("页面 网页 内容 题目 试题 条目 链接 资源 文件 文章 帖子 视频 商品 网址 地址".split()), rf"(?:访问|请求|查看|打开|浏览|查找|寻找)的{_THING}(?:暂时)?(?:不存在|已(?:被)?(?:删除|移除|下架)|找不到|无法|未找到|走丢)|{_THING}(?:已经?(?:被)?(?:删除|下架|移除|失效|过期)(?:$|[。!,( ])|不存在(?:$|[。!,( ])|走丢了|找不到了|(?:加载|读取|打开)(?:出错|失败))|(?:^|[!。, ])找不到(?:该|此|您要的)?{_THING}"),
-    ("error", ("加载", "读取", "连接"), r"(?:^|[!。,: ])(?:数据|图片|资源|服务器|网络|页面)?(?:加载|读取|连接)(?:出错|失败|超时)(?:$|[,。! ])"),
+    ("error", ("加载", "读取", "连接"), r"(?:^|[!。,: ])(?:数据|图片|资源|服务器|网络|页面)?(?:加载|读取|连接)(?:出错|失败|超时)(?:$|[,。! (])"),
     ("error", ("权限", "频繁", "被拒绝"), r"(?:您|你|当前用户|账号)?(?:没有|暂无|无)(?:查看|访问|操作|浏览)(?:该|此|本)?(?:页面|内容|题目)?(?:的)?权限|访问(?:过于|太)频繁|访问被拒绝|请求(?:过于|太)频繁"),
-    ("error", tuple("系统 服务 网络 接口 数据库 页面 网页 网站 站点 后台 程序 请求 连接 访问".split()), rf"(?:^|[!。,:( \"])(?:抱歉|对不起|您的|当前|提示)?,? ?{_PARTY}(?:当前|暂时|正在)?(?:繁忙|忙|异常|无响应|连接失败|错误|超时|维护|维护中|升级中|开小差|出错|不可用|中断|故障)(?:了)?(?:$|[。!(\"]| ?,? ?(?:请|错误|点击|返回|正在|暂时|稍|刷新|再试))"),
+    ("error", tuple("系统 服务 网络 接口 数据库 页面 网页 网站 站点 后台 程序 请求 连接 访问".split()), rf"(?:^|[!。,:( \"])(?:抱歉|对不起|您的|当前|提示)?,? ?{_PARTY}(?:当前|暂时|正在)?(?:繁忙|忙|异常|无响应|连接失败|错误|超时|维护|维护中|升级中|开小差|出错|不可用|中断|故障)(?:了)?(?:,?$|[。!(\"]| ?,? ?(?:请|错误|点击|返回|正在|暂时|稍|刷新|再试))"),
     ("filler", ("lorem", "ipsum"), r"(?<![a-z])lorem ipsum(?![a-z]).*|ipsum dolor"),
     ("filler", ("占位", "此处", "示例文字", "示例文本"), r"占位(?:文字|内容|文本|符).{0,8}(?:替换|删除|$|[。!])|此处(?:为|是)?(?:占位|示例|填充)(?:文字|内容|文本)|(?:^|[,。! ])(?:示例文字|示例文本)(?:$|[,。!])"),
     ("filler", ("placeholder", "coming", "available", "dummy", "sample text", "under construction", " yet", "provided"), r"placeholder text|dummy (?:text|content)|sample text(?: here|$)|(?:content|explanation|answer|page|article|section|detail|description|more)s? (?:is |are )?(?:coming|available) soon|^\W*coming soon\W*$|no (?:explanation|content|answer|text|description|detail)s? (?:is |are )?(?:available|yet|provided)|(?:page|site|section) (?:is )?under construction"),
-    ("filler", ("建设中", "暂无", "尚未", "整理中", "待", "更新中", "编写中", "撰写中", "敬请期待", "记得补", "后补", "完善中"), r"(?:内容|页面|栏目|网站)(?:正在)?建设中|(?:^|[::。!, ])暂无(?:相关)?(?:解析|内容|答案|题目|数据|简介|介绍|描述|信息)(?:$|[。!,])|尚未(?:录入|填写|添加|上传|编写)|(?:解析|内容|答案|题目|正文|本节|本页|本章|资料|说明|简介|介绍).{0,4}(?:整理中|待更新|待完善|待补充|更新中|编写中|撰写中|完善中)|敬请期待|(?:编辑|作者|编者):.{0,4}记得补|^\W*(?:略[。.]?)?后补\W*$"),
+    ("filler", ("建设中", "暂无", "尚未", "整理中", "待", "更新中", "编写中", "撰写中", "敬请期待", "记得补", "后补", "完善中"), r"(?:内容|页面|栏目|网站)(?:正在)?建设中|(?:^|[::。!, ])暂无(?:解析|答案)|(?:^|[::。!, ])暂无(?:相关)?(?:解析|内容|答案|题目|数据|简介|介绍|描述|信息)(?:$|[。!,])|尚未(?:录入|填写|添加|上传|编写)|(?:解析|内容|答案|题目|正文|本节|本页|本章|资料|说明|简介|介绍).{0,4}(?:整理中|待更新|待完善|待补充|更新中|编写中|撰写中|完善中)|敬请期待|(?:编辑|作者|编者):.{0,4}记得补|^\W*(?:略[。.]?)?后补\W*$"),
     ("filler", ("todo", "to do", "tbd", "tba", "tbc", "fixme", "asdf", "qwerty"), r"(?:^|[^a-z])to ?do ?: |^\W*(?:tbd|tba|tbc|fixme|todo)\W*$|(?<![a-z])(?:asdf){2,}|qwertyuiop"),
 ]
 #: Repeated words and phrases need no string; they are asked of every line.
@@ -119,7 +119,7 @@ TALK = re.compile(
     r"|(?:answered|returned|said|says|reported|logged|called|titled|displayed|read) ?['\"]|(?:重试|retr(?:y|ied)).{0,8}\d+ ?(?:次|times)|(?:用|使用|采用|基于|以) ?(?:java ?script|js)(?![a-z]).{0,6}(?:编写|计时|实现|开发|渲染|绘制)"
 )
 #: Sentences that report how often an error or notice came.
-COUNTED = re.compile(r"(?<![\d.])\d+ (?:times|attempts|requests|occasions)(?![a-z])|共?\d+ ?次")
+COUNTED = re.compile(r"(?<![\d.])\d+ (?:times|attempts|requests|occasions)(?![a-z])|(?:共|重试|出现了?|发生了?|返回了?) ?\d+ ?次|\d+ ?次(?:错误|报错|失败|重试)")
 _SPLIT = re.compile(rf"(?<=[。!?;])|(?<=[a-z)'\d>}}\]]\.)(?= |[{_HAN}]|$)")
 _LINES = re.compile(r"[\n\r\x0b\x0c\x85  ]+")
 _NUMBER = re.compile(r"\d+(?:[.,:]\d+)*")
@@ -141,6 +141,8 @@ def folded(line: str) -> str:
 
 def lines(text: str) -> list[str]:
     """The folded lines of a text that show anything."""
+    if text.lstrip()[:1] in ("{", "["):  # line ends of a text that is written as JSON
+        text = text.replace("\\n", "\n")
     return [x for x in map(folded, _LINES.split(text)) if x]
 
 
@@ -155,12 +157,15 @@ def sentences(line: str) -> list[str]:
 
 
 def pseudo_latin(sentence: str) -> bool:
-    """Five words or more of which three, or two and a fifth of all, are of the usual pseudo Latin, without a function word."""
+    """Five words or more without a function word, of which three, or two and a fifth of all, are of the usual pseudo Latin;
+    or eight or more, one of them of it, of which a quarter are repetitions."""
     words = _WORD.findall(sentence)
     if len(words) < 5 or any(w in _FUNCTION for w in words):
         return False
     known = [w for w in words if w in _LATIN]
-    return len(set(known)) >= 3 and len(known) * 8 >= len(words) or len(set(known)) >= 2 and len(known) * 5 >= len(words)
+    if len(set(known)) >= 3 and len(known) * 8 >= len(words) or len(set(known)) >= 2 and len(known) * 5 >= len(words):
+        return True
+    return len(words) >= 8 and bool(known) and len(set(words)) * 4 <= len(words) * 3
 
 
 def evidence(line: str) -> str | None:
@@ -182,7 +187,7 @@ def evidence(line: str) -> str | None:
 
 def pseudo_latin_line(line: str) -> bool:
     """Whether a sentence of the line can be pseudo Latin."""
-    return len(_LATIN.intersection(_WORD.findall(line))) >= 2
+    return not _LATIN.isdisjoint(_WORD.findall(line))
 
 
 def _marked(docs: DataFrame) -> DataFrame:
