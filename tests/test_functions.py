@@ -203,3 +203,12 @@ def test_statistics(spark):
     assert same is None
     p = spark.createDataFrame([(list(range(1, 31)),), ([],)], "v array<int>").select(stats.lower_percentile(F.col("v"), 0.95).alias("p")).collect()
     assert [r.p for r in p] == [28, 0]
+
+
+def test_shingle_hashes_are_those_of_the_shingles(spark):
+    texts = ["", None, "甲", "甲乙丙丁戊", "甲乙丙丁戊己", "a𠀀b😀c\nd e", "aaaaaaaa", "x" * 500]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    from examloom.functions.text import shingle_hashes, shingles
+
+    for r in d.select(F.array_sort(F.array_distinct(shingle_hashes(F.col("t")))).alias("a"), F.array_sort(F.transform(shingles(F.col("t")), lambda g: F.xxhash64(g))).alias("b")).collect():
+        assert r.a == r.b
