@@ -22,9 +22,8 @@ def length_percentiles(spark, d):
     return h.groupBy("source").agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("v").alias("most"), F.coalesce(F.sum(F.when(F.col("v") > 450, F.col("k"))), F.lit(0)).alias("over_limit"))
 
 
-@register("explanations", f"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '[\\p{{Z}}\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85]+\\n', chr(10), 'g'), '^{q.SPACE}+', ''), '{q.SPACE}+$', '')) AS text_hash FROM documents WHERE text IS NULL OR NOT regexp_matches(text, '[\\x1c-\\x1f]')")
+@register("explanations", f"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '[\\p{{Z}}\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x85]+\\n', chr(10), 'g'), '^{q.SPACE}+', ''), '{q.SPACE}+$', '')) AS text_hash FROM documents")
 def explanations(spark, d):
-    """Every document; the SQL leaves out those with \\x1c to \\x1f and agrees on all others."""
     t = load(spark, d, "documents")
     return t.select("doc_id", F.md5(text.explanation_text(F.col("text"))).alias("text_hash"))
 
