@@ -7,12 +7,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _SCRATCH: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_session(master: str = "local[8]", app: str = "examloom", **conf: str) -> SparkSession:
@@ -84,10 +87,27 @@ def write_scratch(df: DataFrame, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, each query's shuffle files are deleted when it ends; else they stay until the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def materialize(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
     """Cut the lineage: write to the shared folder, go on from the written table.
 
-    A written table survives lost executors and is read with column pruning, other than cached blocks.
+    A written table survives lost executors and is read with column pruning, other than cached blocks. With
+    drop_shuffles, the shuffle files that writing took are gone when it ends.
     """
     spark, schema = df.sparkSession, df.schema
-    return spark.read.schema(schema).parquet(write_scratch(df, name))
+    with shuffles_dropped(spark) if drop_shuffles else nullcontext():
+        path = write_scratch(df, name)
+    return spark.read.schema(schema).parquet(path)
