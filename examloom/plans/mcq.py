@@ -117,13 +117,15 @@ def build_outcomes(spark, d):
     train, ref = _parts(spark, d)
     size = F.length("p.question") + F.aggregate(F.col("p.options"), F.lit(0), lambda a, o: a + F.length(o["text"]))
     gate = dedup.gate([("dropped_type", F.col("question_type") == DROPPED_TYPE), ("invalid", F.col("p.reason").isNotNull()), ("too_long", size > MAX_CHARS)])
-    t = materialize(train.withColumn("outcome", gate).select("row_id", "stem", "unit", "outcome"), "parsed")
-    ref = materialize(ref.select("stem", "unit"), "references")
+    unit = F.unhex("unit").alias("unit")
+    t = materialize(train.withColumn("outcome", gate).select("row_id", "stem", unit, "outcome"), "parsed", drop_shuffles=True)
+    ref = materialize(ref.select("stem", unit), "references", drop_shuffles=True)
     first = t.filter("outcome is null").groupBy("unit").agg(F.min("row_id").alias("first"))
     stems, units = ref.select("stem").distinct().withColumn("in_stem", F.lit(True)), ref.select("unit").distinct().withColumn("in_unit", F.lit(True))
-    t = t.join(first, "unit", "left").join(stems, "stem", "left").join(units, "unit", "left")
+    # both joins by unit first: the rows are shuffled once for the two, and once more by stem without the unit
+    t = t.join(first, "unit", "left").join(units, "unit", "left").drop("unit").join(stems, "stem", "left")
     later = dedup.gate([("duplicate", F.col("row_id") > F.col("first")), ("exact_stem", F.col("in_stem")), ("stem_options", F.col("in_unit"))])
-    t = materialize(t.withColumn("outcome", F.coalesce("outcome", later)).select("row_id", "stem", "outcome"), "gated")
+    t = materialize(t.withColumn("outcome", F.coalesce("outcome", later)).select("row_id", "stem", "outcome"), "gated", drop_shuffles=True)
     near = decontam.near_scores(t.filter("outcome is null").select("stem"), ref.select(F.col("stem").alias("ref_stem")), "stem", "ref_stem", BORDER)
     best = F.when(F.col("jaccard") >= NEAR, "near_duplicate").when(F.col("jaccard") >= BORDER, "kept_borderline").otherwise("kept")
     return t.join(near.select("stem", "jaccard"), "stem", "left").withColumn("outcome", F.coalesce("outcome", best))

@@ -6,6 +6,7 @@ import pytest
 
 from examloom.functions.text import ngrams
 from examloom.operators import decontam
+from examloom.plans import mcq
 
 
 def _best(left, right, n, threshold):
@@ -25,6 +26,11 @@ def _scores(spark, left, right, **how):
     return {x.k: (x.jaccard, x.r) for x in rows}
 
 
+def _shuffle_bytes(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_"))
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.55, 0.9])
 def test_no_pair_is_lost(spark, threshold):
     rng = random.Random(5)
@@ -43,14 +49,16 @@ def test_shuffle_files_within_four_times_the_texts(spark):
     clauses = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20)) for _ in range(300)]
     texts = ["".join(rng.sample(clauses, 2)) + "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20)) for _ in range(5000)]
     left, right = texts[:3500], texts[3500:] + [t[:-9] + "末" * 9 for t in texts[:50]]
-    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-
-    def used():
-        files = blocks.getAllFiles()
-        return sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_"))
-
-    before = used()
+    before = _shuffle_bytes(spark)
     d = decontam.near_scores(spark.createDataFrame([(x,) for x in left], "k string"), spark.createDataFrame([(x,) for x in right], "r string"), "k", "r")
-    left_over = used() - before
+    left_over = _shuffle_bytes(spark) - before
     assert {x.k for x in d.collect()} >= set(left[:50])
     assert left_over < 4 * sum(len(t.encode()) for t in left + right)
+
+
+def test_gates_of_the_funnel_leave_no_shuffle_files(spark, sf):
+    before = _shuffle_bytes(spark)
+    outcomes = mcq.build_outcomes(spark, sf)
+    left_over = _shuffle_bytes(spark) - before
+    assert outcomes.count() == spark.read.parquet(f"{sf}/build_cmb_train_sft.parquet").filter("split = 'train'").count()
+    assert left_over < 5000
